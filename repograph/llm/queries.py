@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repograph.llm.decontaminate import op2_decontaminate
+from repograph.llm.simhash_dedup import op8_simhash_gray
 
 _QUERIES = [
     op2_decontaminate,
+    op8_simhash_gray,
 ]
 
 

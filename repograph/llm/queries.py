@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repograph.llm.bpe import op6_bpe_pairs
 from repograph.llm.decontaminate import op2_decontaminate
+from repograph.llm.language_crf import op5_language_crf
 from repograph.llm.line_dedup import op1_line_dedup
 from repograph.llm.secrets import op4_secret_scan
 from repograph.llm.simhash_dedup import op8_simhash_gray
@@ -16,6 +17,7 @@ _QUERIES = [
     op1_line_dedup,
     op2_decontaminate,
     op4_secret_scan,
+    op5_language_crf,
     op6_bpe_pairs,
     op8_simhash_gray,
 ]

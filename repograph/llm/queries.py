@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repograph.llm.bpe import op6_bpe_pairs
+from repograph.llm.chat_format import OP9_SQL, op9_chat_format
 from repograph.llm.decontaminate import op2_decontaminate
 from repograph.llm.language_crf import op5_language_crf
 from repograph.llm.line_dedup import op1_line_dedup
@@ -20,6 +21,7 @@ _QUERIES = [
     op5_language_crf,
     op6_bpe_pairs,
     op8_simhash_gray,
+    op9_chat_format,
 ]
 
 
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_format": OP9_SQL}

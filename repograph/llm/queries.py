@@ -10,6 +10,7 @@ from repograph.llm.bpe import op6_bpe_pairs
 from repograph.llm.chat_format import OP9_SQL, op9_chat_format
 from repograph.llm.decontaminate import op2_decontaminate
 from repograph.llm.language_crf import op5_language_crf
+from repograph.llm.license_scan import op3_license_scan
 from repograph.llm.line_dedup import op1_line_dedup
 from repograph.llm.secrets import op4_secret_scan
 from repograph.llm.simhash_dedup import op8_simhash_gray
@@ -17,6 +18,7 @@ from repograph.llm.simhash_dedup import op8_simhash_gray
 _QUERIES = [
     op1_line_dedup,
     op2_decontaminate,
+    op3_license_scan,
     op4_secret_scan,
     op5_language_crf,
     op6_bpe_pairs,

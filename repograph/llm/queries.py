@@ -12,6 +12,7 @@ from repograph.llm.decontaminate import op2_decontaminate
 from repograph.llm.language_crf import op5_language_crf
 from repograph.llm.license_scan import op3_license_scan
 from repograph.llm.line_dedup import op1_line_dedup
+from repograph.llm.reshard import op7_reshard_flow
 from repograph.llm.secrets import op4_secret_scan
 from repograph.llm.simhash_dedup import op8_simhash_gray
 
@@ -22,6 +23,7 @@ _QUERIES = [
     op4_secret_scan,
     op5_language_crf,
     op6_bpe_pairs,
+    op7_reshard_flow,
     op8_simhash_gray,
     op9_chat_format,
 ]

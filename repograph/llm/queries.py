@@ -15,6 +15,7 @@ from repograph.llm.line_dedup import op1_line_dedup
 from repograph.llm.reshard import op7_reshard_flow
 from repograph.llm.secrets import op4_secret_scan
 from repograph.llm.simhash_dedup import op8_simhash_gray
+from repograph.llm.topk_search import OP10_SQL, op10_topk_pivots
 
 _QUERIES = [
     op1_line_dedup,
@@ -26,6 +27,7 @@ _QUERIES = [
     op7_reshard_flow,
     op8_simhash_gray,
     op9_chat_format,
+    op10_topk_pivots,
 ]
 
 
@@ -34,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op9_chat_format": OP9_SQL, "op10_topk_pivots": OP10_SQL}

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -29,6 +30,10 @@ from repograph.llm.textmap import map_texts
 #: A worker remembers the ids of so many words.
 MEMO = 200_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
+#: ASCII and the letters of the Latin-1 and Latin Extended-A blocks: texts of these are in NFC, lower-case to the same
+#: and a combining dot, and hold no other letters or numbers; the white space among them is ASCII.
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ſ]*\\Z")
+_PLAIN_LETTERS = "a-zÀ-ÖØ-öø-ſ"
 
 
 def byte_symbols() -> list[str]:
@@ -76,6 +81,10 @@ class Tokenizer:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, texts)) + ")") if texts else None
         pattern = split["pattern"]["Regex"].replace(r"\s", _SPACE)
         self.word_pattern = regex.compile(pattern)
+        # the same for texts of plain characters, with the standard library's faster patterns
+        plain = pattern.replace(r"[\p{L}]", rf"[{_PLAIN_LETTERS}]").replace(r"[\p{N}]", "[0-9]")
+        plain = plain.replace(r"\p{L}", _PLAIN_LETTERS).replace(r"\p{N}", "0-9")
+        self.plain_pattern = None if "\\p" in plain else re.compile(plain)
         # characters added to Unicode since the version that the tokenizers library has are neither letters nor numbers
         newer = newer_characters()
         self.newer = regex.compile(f"[{newer}]") if newer else None
@@ -108,8 +117,8 @@ class Tokenizer:
 
     def words(self, text: str) -> list[str]:
         """The pieces that are merged each by itself, of a text without special tokens."""
-        if text.isascii():
-            return self.word_pattern.findall(text.lower())
+        if self.plain_pattern and _PLAIN.match(text):
+            return self.plain_pattern.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each character by itself: no final sigma
         return (self.exact_pattern if self.newer and self.newer.search(text) else self.word_pattern).findall(text)
 

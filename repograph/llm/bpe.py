@@ -267,8 +267,11 @@ def encode_and_decode(documents: DataFrame, path: str, *, keep: list[str], text:
     return map_texts(documents, text, keep, added, run)
 
 
-def encode(documents: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:
-    return encode_and_decode(documents, path, keep=keep, text=text).drop("decoded")
+def encode(documents: DataFrame, path: str, *, keep: list[str], text: str = "text", name: str = "ids") -> DataFrame:
+    """The ``keep`` columns and the ids of each whole text."""
+    content = vocabulary(documents.sparkSession, path)
+    added = T.StructType([T.StructField(name, ENCODED["ids"].dataType, False)])
+    return map_texts(documents, text, keep, added, lambda data: {name: _tokenizer(content).encode(_texts(data))})
 
 
 def decode(encoded: DataFrame, path: str, *, keep: list[str], ids: str = "ids") -> DataFrame:

@@ -22,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,21 +172,44 @@ def link_forest(prints: DataFrame, limit: int, work: Workspace) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, limit: int = LIMIT, name: str = "simhash"
+    documents: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text: str = "text",
+    words: int = 3,
+    limit: int = LIMIT,
+    carry: tuple[str, ...] = (),
+    name: str = "simhash",
 ) -> DataFrame:
-    """(id, fp, component) for each document: fingerprint as a long, and the smallest id reachable."""
+    """(id, fp, component, group) and the ``carry`` columns for each document: fingerprint as a long, the smallest id
+    reachable, and the fingerprint that stands for the component."""
     work = Workspace(documents.sparkSession, name)
-    prints = work.keep(with_fingerprints(documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), ["id"], "text", words), "prints")
+    source = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
+    prints = work.keep(with_fingerprints(source, ["id", *carry], "text", words), "prints")
     classes = work.keep(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     labels = connected_components(link_forest(classes, limit, work), work)
     labels = work.keep(labels.withColumnsRenamed({"node": "fp"}), "labels")
     linked = labels.join(classes, "fp")
     least = work.keep(linked.groupBy("label").agg(F.min("first").alias("least")), "least")
-    reached = labels.join(least, "label").select("fp", "least")
+    reached = labels.join(least, "label").select("fp", "label", "least")
     component = work.keep(
-        classes.join(reached, "fp", "left").select("fp", F.coalesce("least", "first").alias("component")), "components"
+        classes.join(reached, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"), F.coalesce("label", "fp").alias("group")),
+        "components",
     )
-    return prints.join(component, "fp").select("id", "fp", "component")
+    return prints.join(component, "fp").select("id", "fp", "component", "group", *carry)
+
+
+def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int, limit: int) -> DataFrame:
+    """The rows of ``documents`` without near-duplicates: of each component one row with the smallest id, null last."""
+    key, check = "__one_key", "__one_check"
+    body = F.col(f"`{text}`").cast("string")
+    rows = documents.withColumns({key: F.xxhash64(F.col(f"`{id_col}`"), body), check: F.hash(body)})
+    near = near_duplicates(rows, id_col=id_col, text=text, words=words, limit=limit, carry=(key, check))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(key), F.col(check)))
+    stays = near.groupBy("group").agg(first.alias("first")).select(F.col(f"first.{key}").alias(key), F.col(f"first.{check}").alias(check))
+    # rows that are equal in id and text share a key
+    copy = F.row_number().over(Window.partitionBy(key, check).orderBy(F.lit(1)))
+    return rows.join(stays, [key, check]).withColumn("__one_copy", copy).where("__one_copy = 1").select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def op8_simhash_gray(spark, sf_dir: str) -> DataFrame:

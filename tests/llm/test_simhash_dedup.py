@@ -6,7 +6,7 @@ import xxhash
 from repograph.llm.components import connected_components
 from repograph.llm.gray_index import GrayIndex, forest, gray_rank
 from repograph.llm.hashing import U64
-from repograph.llm.simhash_dedup import fingerprints, near_duplicates, op8_simhash_gray
+from repograph.llm.simhash_dedup import fingerprints, near_duplicates, one_of_each, op8_simhash_gray
 from repograph.llm.storage import Workspace
 
 
@@ -86,3 +86,12 @@ def test_query_matches_brute_force(spark):
     assert {i: r.fingerprint for i, r in got.items()} == {r.doc_id: f"{p:016x}" for r, p in zip(rows, prints)}
     want = brute_components([r.doc_id for r in rows], prints, 2)
     assert {i: r.component_id for i, r in got.items()} == {r.doc_id: c for r, c in zip(rows, want)}
+
+
+def test_one_of_each(spark):
+    rows = [(3, "a b c d e f g", "x"), (1, "A b c d e f g", "y"), (1, "A b c d e f g", "y"), (None, "a b c d e f g", "z"), (None, "q r s t u v", "z"), (None, "q r s t u v", "z"), (7, None, "n"), (8, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = one_of_each(df, words=5, limit=3)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "A b c d e f g", "y"), (None, "q r s t u v", "z"), (7, None, "n")], key=str)
+    assert one_of_each(df.limit(0), words=5, limit=3).count() == 0

@@ -7,6 +7,8 @@ equal normalised text are copies. The SimHash of a line adds up the hashes of it
 * the first lines of two fingerprints with each other, if these differ in at most DISTANCE bits. The 64 bits are cut
   into blocks, of which at least some must agree; every choice of so many blocks is a key of an equi-join. The number of
   blocks follows from the number of fingerprints (``blocks_for``), so that buckets stay small; the pairs are the same.
+  Pairs that could only connect what verified pairs connect already are not compared: a bucket's members go with its
+  pivot first, then pairs across groups, so a large group of near copies costs its size, not its square.
 
 A pair links if its edit similarity, 1 - distance / longer length, is at least SIMILARITY. Of each connected group the
 occurrence that comes first by (id, hash of the text, line number) stays, and all others go, wherever they stand.
@@ -27,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,12 +107,42 @@ def pigeonhole_keys(fp: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def near_fingerprints(prints: DataFrame, blocks: int, agree: int) -> DataFrame:
-    """Pairs (fp_a, fp_b), fp_a < fp_b, of distinct fingerprints with at most DISTANCE differing bits."""
-    keyed = prints.select("fp", F.explode(pigeonhole_keys(F.col("fp"), blocks, agree)).alias("key"))
-    a, b = keyed.select("key", F.col("fp").alias("fp_a")), keyed.select("key", F.col("fp").alias("fp_b"))
-    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
-    return a.join(b, (a["key"] == b["key"]) & (F.col("fp_a") < F.col("fp_b")) & near).select("fp_a", "fp_b").distinct()
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(fp_a, fp_b), fp_a < fp_b, once each."""
+    ordered = df.select(F.least(a, b).alias("fp_a"), F.greatest(a, b).alias("fp_b"))
+    return ordered.where("fp_a < fp_b").distinct()
+
+
+def bucket_members(prints: DataFrame, blocks: int, agree: int) -> DataFrame:
+    """(key, fp, pivot) of the buckets with several distinct fingerprints; the pivot is the one with most lines."""
+    keyed = prints.select("fp", "n", F.explode(pigeonhole_keys(F.col("fp"), blocks, agree)).alias("key"))
+    bucket = Window.partitionBy("key")
+    most = F.max(F.struct("n", "fp")).over(bucket)["fp"]
+    return keyed.select("key", "fp", most.alias("pivot"), F.count("*").over(bucket).alias("size")).where("size > 1").drop("size")
+
+
+def beyond_pivot(members: DataFrame) -> DataFrame:
+    """The near pairs of each bucket of which one at least is not near the pivot."""
+    far = members.where(~_near("fp", "pivot")).select("key", F.col("fp").alias("far"))
+    return _pairs(far.join(members.select("key", "fp"), "key").where((F.col("far") != F.col("fp")) & _near("far", "fp")), "far", "fp")
+
+
+def around(members: DataFrame, some: DataFrame) -> DataFrame:
+    """All near pairs that have one of ``some`` fingerprints."""
+    own = members.join(some, "fp", "left_semi").select("key", F.col("fp").alias("own"))
+    return _pairs(own.join(members.select("key", "fp"), "key").where((F.col("own") != F.col("fp")) & _near("own", "fp")), "own", "fp")
+
+
+def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends have different labels; a fingerprint without one is its own."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.withColumnsRenamed({"node": f"fp_{end}", "label": f"label_{end}"}), f"fp_{end}", "left")
+    apart = F.coalesce("label_a", "fp_a") != F.coalesce("label_b", "fp_b")
+    return pairs.where(apart).select("fp_a", "fp_b")
 
 
 def similar(a: str, b: str, similarity: float) -> Column:
@@ -154,6 +186,24 @@ def wanted_lines(documents: DataFrame, names: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "name binary, line string").groupBy("name").agg(F.min("line").alias("line"))
 
 
+def _named(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """With the first lines' names, a and b."""
+    for end in ("a", "b"):
+        pairs = pairs.join(names.withColumnsRenamed({"fp": f"fp_{end}", "name": end}), f"fp_{end}")
+    return pairs.select("a", "b", "fp_a", "fp_b")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(texts.withColumnsRenamed({"name": end, "line": f"text_{end}"}), end)
+    return pairs
+
+
+def _verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, fp_a, fp_b) of the pairs that are similar."""
+    return _with_texts(_named(pairs, names), texts).where(similar("text_a", "text_b", similarity)).select("a", "b", "fp_a", "fp_b")
+
+
 def dropped_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of (id, sum, text): (id, sum, lines), the numbers of the lines to drop of each document that has some."""
     work = Workspace(documents.sparkSession, "line-dedup")
@@ -171,19 +221,23 @@ def dropped_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataF
         found.join(mixed, "fp").groupBy("fp", "first", "name").agg(F.min(place).alias("place"), F.count("*").alias("n")), "mixed"
     )
     blocks, agree = blocks_for(prints.count())
-    near = work.keep(near_fingerprints(prints, blocks, agree), "near")
+    members = work.keep(bucket_members(prints, blocks, agree), "members")
+    # pairs with the pivots would connect all that is near one; of the other pairs those are compared that connect more
+    to_pivot = work.keep(_pairs(members.where(_near("fp", "pivot")), "fp", "pivot"), "to-pivot")
+    hoped = work.keep(connected_components(to_pivot.toDF("a", "b"), work), "hoped")
+    beyond = work.keep(beyond_pivot(members), "beyond")
+    tried = work.keep(to_pivot.union(crossing(beyond, hoped)), "tried")
     names = prints.select("fp", "name")
-    pairs = near.join(names.withColumnsRenamed({"fp": "fp_a", "name": "a"}), "fp_a").join(
-        names.withColumnsRenamed({"fp": "fp_b", "name": "b"}), "fp_b"
-    )
-    pairs = work.keep(
-        pairs.select("a", "b").union(others.where(F.col("first") != F.col("name")).select(F.col("first").alias("a"), F.col("name").alias("b"))), "pairs"
-    )
-    taking_part = pairs.select(F.explode(F.array("a", "b")).alias("name"))
-    texts = work.keep(wanted_lines(documents, taking_part).join(taking_part.distinct(), "name", "left_semi"), "texts")
-    with_a = pairs.join(texts.withColumnsRenamed({"name": "a", "line": "text_a"}), "a")
-    both = with_a.join(texts.withColumnsRenamed({"name": "b", "line": "text_b"}), "b")
-    links = both.where(similar("text_a", "text_b", similarity)).select("a", "b")
+    alike = others.where(F.col("first") != F.col("name")).select(F.col("first").alias("a"), F.col("name").alias("b"))
+    taking_part = work.keep(_named(tried, names).select("a", "b").union(alike).select(F.explode(F.array("a", "b")).alias("name")).distinct(), "taking-part")
+    texts = work.keep(wanted_lines(documents, taking_part).join(taking_part, "name", "left_semi"), "texts")
+    sure = work.keep(_verified(tried, names, texts, similarity), "sure")
+    # where a comparison with a pivot failed, its other pairs are no longer covered; their lines took part above
+    firm = work.keep(connected_components(sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), work), "firm")
+    failed = to_pivot.join(sure, ["fp_a", "fp_b"], "left_anti").select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
+    rest = beyond.union(around(members, work.keep(failed, "failed"))).distinct().join(tried, ["fp_a", "fp_b"], "left_anti")
+    more = work.keep(_verified(crossing(rest, firm), names, texts, similarity), "more")
+    links = sure.union(more).select("a", "b").union(_with_texts(alike, texts).where(similar("text_a", "text_b", similarity)).select("a", "b"))
     labels = work.keep(connected_components(links, work), "labels").withColumnRenamed("node", "name")
     # the place that stays, of all lines that are not alone
     nodes = prints.where("NOT mixed").select("name", "place", "n").union(others.select("name", "place", "n"))

@@ -80,9 +80,27 @@ def test_same_as_brute_force(spark, seed):
     assert got[70].text is None and got[70].n_lines == 0
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.97, 0.985])
+def test_families_of_near_lines(spark, similarity):
+    """Many near variants, of which some pairs fail: groups are as if all near pairs had been compared."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(4):
+        base = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(90)]
+        for _ in range(30):
+            words = list(base)
+            for at in rng.integers(0, 90, int(rng.integers(0, 4))):
+                words[at] = "else" * int(rng.integers(1, 5))
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.n_kept for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity).collect()}
+    gone = brute(rows, similarity)
+    assert {i for i, n in got.items() if n == 0} == {i for i, _ in gone}
+    assert 4 <= len(rows) - len(gone) < 100
+
+
 def test_fuzzy_pairs_are_found_and_verified(spark):
     rng = np.random.default_rng(9)
-    line = " ".join(f"word{i}" for i in rng.integers(0, 10**6, 80))
+    line = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(80))
     near = line.replace(line.split()[40], "else")
     a, b = (int(ld.fingerprints([x])[0]) for x in ld.normalised(f"{line}\n{near}".encode()))
     rows = [(1, f"{line}\nalone"), (2, near)]

@@ -1,7 +1,7 @@
 """Fuzzy line dedup (operator 1): SimHash, pigeonhole join, verified edit similarity, one line kept of each group.
 
 A line is normalised: A-Z lower-cased, digits made 0, other ASCII marks made spaces, words joined by one space. Lines of
-equal normalised text are copies. The SimHash of a line adds up the hashes of its words. Lines are compared:
+equal normalised text are copies. The SimHash of a line adds up hashes of its words (``fingerprints``). Lines are compared:
 
 * with the first line of the same fingerprint;
 * the first lines of two fingerprints with each other, if these differ in at most DISTANCE bits. The 64 bits are cut
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repograph.llm.components import connected_components
-from repograph.llm.hashing import WORDS_ONLY, simhash, word_bounds, word_hashes
+from repograph.llm.hashing import U64, WORDS_ONLY, mix, simhash, word_bounds, word_hashes
 from repograph.llm.storage import Workspace
 from repograph.llm.textmap import as_bytes, pieces
 
@@ -51,11 +51,28 @@ def normalised(text: bytes | None) -> list[bytes]:
     return [b" ".join(line.split()) for line in text.translate(_LINES).split(b"\n")] if text is not None else []
 
 
+#: Lines are told apart by so many bits of a sort key, and words by the rest.
+_LINE_BITS = U64(20)
+
+
 def fingerprints(lines: list[bytes]) -> np.ndarray:
+    """Of each line: its features are (word, how many of it came before), so what two lines have of a common word
+    counts once for each time that both have it, and long lines are not near for their common words alone."""
     a, starts, ends = word_bounds(b"\n".join(lines))
     sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
-    bounds = np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts))
-    return simhash(word_hashes(a, starts, ends), np.diff(bounds))
+    counts = np.diff(np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts)))
+    hashes = word_hashes(a, starts, ends) >> _LINE_BITS
+    rows = np.repeat(np.arange(len(lines), dtype=U64), counts)
+    out = []
+    for start in range(0, len(lines), 1 << int(_LINE_BITS)):
+        some = slice(*np.searchsorted(rows, [start, start + (1 << int(_LINE_BITS))]))
+        out.append(np.sort(((rows[some] - U64(start)) << (U64(64) - _LINE_BITS)) | hashes[some]))
+    ordered = np.concatenate(out) if out else np.zeros(0, U64)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    nth = np.arange(len(ordered)) - np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0))
+    word = ordered & ((U64(1) << (U64(64) - _LINE_BITS)) - U64(1))
+    return simhash(mix(word * U64(0x9E3779B97F4A7C15) + nth.astype(U64)), counts)
 
 
 def digest(line: bytes) -> bytes:

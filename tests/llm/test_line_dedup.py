@@ -110,6 +110,14 @@ def test_fuzzy_pairs_are_found_and_verified(spark):
     assert {r.doc_id: r.text for r in ld.dedup_lines(df, similarity=1.0).collect()}[2] == near
 
 
+def test_fingerprints():
+    """Bits by majority over (word, occurrence); the order of words and what stands in other lines don't matter."""
+    a, b, c, d = ld.fingerprints([b"x y x z", b"z x y x", b"x y z", b""]).tolist()
+    assert a == b and d == 0 and len({a, c}) == 2
+    many = ld.fingerprints([b"x y x z"] * 5 + [b"the of " * 900] * 2)
+    assert set(many[:5].tolist()) == {a} and many[5] == many[6]
+
+
 def test_keys_hold_every_near_pair():
     rng = np.random.default_rng(3)
     for blocks, agree in ((5, 2), (6, 3), (7, 4)):

@@ -93,19 +93,21 @@ class Tokenizer:
         self.exact_pattern = regex.compile(pattern, regex.V1)
         suffix = model["end_of_word_suffix"] or ""
         symbols = byte_symbols()
-        self.inner = [self.vocabulary.get(s, -1) for s in symbols]
-        self.final = [self.vocabulary.get(s + suffix, -1) for s in symbols]
-        self.ranks: dict[tuple[int, int], int] = {}
+        # bytes within a word, then those at its end
+        self.first_ids = np.array([self.vocabulary.get(s, -1) for s in [*symbols, *(s + suffix for s in symbols)]], np.int64)
+        self.missing = self.first_ids < 0
+        self.pairs: dict[int, int] = {}
         self.merges: list[tuple[int, int, int]] = []
         made: dict[int, int] = {}
         for rank, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else m for m in model["merges"]):
-            pair = (self.vocabulary[a], self.vocabulary[b])
-            new = self.vocabulary[a + b]
+            a, b, new = self.vocabulary[a], self.vocabulary[b], self.vocabulary[a + b]
             made.setdefault(new, rank)
-            self.ranks[pair] = rank
-            self.merges.append((*pair, new))
-        if any(made.get(x, -1) >= rank for (a, b), rank in self.ranks.items() for x in (a, b)):
+            self.pairs[a << 20 | b] = rank
+            self.merges.append((a, b, new))
+        if any(made.get(x, -1) >= rank for rank, merge in enumerate(self.merges) for x in merge[:2]):
             raise ValueError("a merge's result takes part in a merge of lower rank")
+        self.first_ranks = np.array([[self.pairs.get(a << 20 | b, -1) for b in self.first_ids.tolist()] for a in self.first_ids[:256].tolist()], np.int64)
+        self.first_ranks = np.concatenate([self.first_ranks, np.full((256, 512), -1)])
         names = {i: s for s, i in (self.vocabulary | self.special).items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self.numbers = [b"%d" % i for i in range(len(self.names))]
@@ -124,69 +126,61 @@ class Tokenizer:
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
-        symbol: list[int] = []
-        owner: list[int] = []
-        for k, word in enumerate(words):
-            data = word.encode()
-            own = [self.inner[b] for b in data[:-1]]
-            own.append(self.final[data[-1]])
-            if -1 in own:
-                own = [x for x in own if x >= 0]
-            symbol += own
-            owner += [k] * len(own)
-        n = len(symbol)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        places: dict[int, list[int]] = {}
-        ranks = self.ranks
-        for p in range(n - 1):
-            if owner[p] == owner[p + 1]:
-                rank = ranks.get((symbol[p], symbol[p + 1]))
-                if rank is not None:
-                    if rank in places:
-                        places[rank].append(p)
-                    else:
-                        places[rank] = [p]
-        active = list(places)
-        heapq.heapify(active)
+        data = [w.encode() for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        line = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        ends = np.cumsum(size) - 1
+        line[ends] += 256  # the last byte of a word is a symbol of its own
+        owner = np.repeat(np.arange(len(data)), size)
+        if self.missing[line].any():
+            there = ~self.missing[line]
+            line, owner = line[there], owner[there]
+        n = len(line)
+        joined = np.zeros(n + 1, bool)  # whether a place and the one before are of one word
+        joined[1:n] = owner[1:] == owner[:-1]
+        rank = np.where(joined[1:n], self.first_ranks[line[:-1], line[1:]], -1) if n else np.zeros(0, np.int64)
+        at = np.flatnonzero(rank >= 0)
+        at = at[np.argsort(rank[at], kind="stable")]
+        active, starts = np.unique(rank[at], return_index=True)
+        places: dict[int, list[int]] = {r: x.tolist() for r, x in zip(active.tolist(), np.split(at, starts[1:]))}
+        active = active.tolist()  # sorted: a heap
+        symbol = self.first_ids[line].tolist()
+        here = np.arange(n)
+        after = np.where(joined[1:], here + 1, -1).tolist()
+        before = np.where(joined[:n], here - 1, -1).tolist()
+        pairs, merges = self.pairs, self.merges
         while active:
             rank = heapq.heappop(active)
-            a, b, new = self.merges[rank]
-            at = places.pop(rank)
-            at.sort()
-            for p in at:
-                if symbol[p] != a:
-                    continue
+            a, b, new = merges[rank]
+            for p in sorted(places.pop(rank)):
                 q = after[p]
-                if q >= n or symbol[q] != b or owner[q] != owner[p]:
+                if symbol[p] != a or q < 0 or symbol[q] != b:
                     continue
                 symbol[p], symbol[q] = new, -1
-                r = after[q]
-                after[p] = r
-                if r < n:
+                after[p] = r = after[q]
+                if r >= 0:
                     before[r] = p
-                    if owner[r] == owner[p]:
-                        other = ranks.get((new, symbol[r]))
-                        if other is not None:
-                            if other in places:
-                                places[other].append(p)
-                            else:
-                                places[other] = [p]
-                                heapq.heappush(active, other)
-                q = before[p]
-                if q >= 0 and owner[q] == owner[p]:
-                    other = ranks.get((symbol[q], new))
+                    other = pairs.get(new << 20 | symbol[r])
                     if other is not None:
                         if other in places:
-                            places[other].append(q)
+                            places[other].append(p)
                         else:
-                            places[other] = [q]
+                            places[other] = [p]
                             heapq.heappush(active, other)
-        out: list[list[int]] = [[] for _ in words]
-        for k, s in zip(owner, symbol):
-            if s >= 0:
-                out[k].append(s)
-        return out
+                r = before[p]
+                if r >= 0:
+                    other = pairs.get(symbol[r] << 20 | new)
+                    if other is not None:
+                        if other in places:
+                            places[other].append(r)
+                        else:
+                            places[other] = [r]
+                            heapq.heappush(active, other)
+        symbol = np.array(symbol, np.int64)
+        left = symbol >= 0
+        ids = symbol[left].tolist()
+        cuts = [0, *np.cumsum(np.bincount(owner[left], minlength=len(data))).tolist()]
+        return [ids[s:e] for s, e in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text."""

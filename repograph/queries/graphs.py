@@ -168,7 +168,7 @@ def gr_recursive_tree(t):
 
 
 @query(
-    WITH_COLLAPSED + "SELECT n.id, coalesce(string_agg('`' || s.name || '` (' || s.node_type || ')', '; ' ORDER BY c.pos, c.pos_tie), '') AS callees FROM nodes n "
+    WITH_COLLAPSED + "SELECT n.id, coalesce(string_agg('`' || s.name || '` (' || s.node_type || ')', '; ' ORDER BY c.pos, c.pos_tie, s.name), '') AS callees FROM nodes n "
     "LEFT JOIN collapsed c ON c.source_id = n.id AND c.type = 'CALLS' LEFT JOIN nodes s ON s.id = c.target_id WHERE n.node_type = 'CUSTOMER' GROUP BY n.id"
 )
 def ag_context_function(t):

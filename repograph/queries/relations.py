@@ -305,8 +305,8 @@ def sm_latest_state(t):
 
 
 @query(
-    "WITH s AS (SELECT user_id AS task_id, (list(event_type ORDER BY ts DESC, event_id DESC))[1] AS status, max(ts) AS at FROM events GROUP BY user_id) "
-    "SELECT task_id, status FROM s WHERE NOT (status IN ('purchase', 'error') AND date_diff('microsecond', at, TIMESTAMP '2024-01-30 12:00:00') > 3600000000)"
+    "WITH s AS (SELECT user_id AS task_id, (list(event_type ORDER BY ts DESC, event_id DESC))[1] AS status, max(ts) AS last_ts FROM events GROUP BY user_id) "
+    "SELECT task_id, status FROM s WHERE NOT (status IN ('purchase', 'error') AND date_diff('microsecond', last_ts, TIMESTAMP '2024-01-30 12:00:00') > 3600000000)"
 )
 def sm_ttl_evict(t):
     """Finished tasks go an hour after their last change; a purchase completes one, an error fails it."""

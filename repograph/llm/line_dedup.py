@@ -163,10 +163,16 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def similar(a: str, b: str, similarity: float) -> Column:
-    """Whether edit similarity is at least so high; a narrow band is tried before the whole one."""
+    """Whether edit similarity is at least so high.
+
+    Cheap bounds come first. Lines of as many words are at most as far apart as the words that differ in their places
+    are long; then narrow bands of the edit matrix are tried before the one that decides.
+    """
     most = f"cast(greatest(length({a}), length({b})) * {1 - similarity:.6f} + 1e-6 as int)"
-    narrow = f"levenshtein({a}, {b}, least(24, {most}))"
-    return F.expr(f"CASE WHEN {narrow} >= 0 THEN true ELSE levenshtein({a}, {b}, {most}) >= 0 END")
+    words_a, words_b = f"split({a}, ' ')", f"split({b}, ' ')"
+    replaced = f"aggregate(zip_with({words_a}, {words_b}, (x, y) -> IF(x = y, 0, greatest(length(x), length(y)))), 0, (s, x) -> s + x)"
+    bands = " ".join(f"WHEN levenshtein({a}, {b}, least({n}, {most})) >= 0 THEN true" for n in (24, 96))
+    return F.expr(f"CASE WHEN size({words_a}) = size({words_b}) AND {replaced} <= {most} THEN true {bands} ELSE levenshtein({a}, {b}, {most}) >= 0 END")
 
 
 def _mark(name: bytes) -> int:

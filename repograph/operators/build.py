@@ -28,6 +28,16 @@ class Built:
     calls: DataFrame  # file_id, file_seq and the call's parts
     bases: DataFrame  # class_id, class_seq, ord, base_name
 
+    def stored(self, path: str) -> Built:
+        """The tables written below ``path`` and read again: files are parsed once, and the joins to come start from tables."""
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{path}/{name}")
+            return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        graph = Graph(keep(self.graph.nodes, "nodes"), keep(self.graph.edges, "edges"))
+        return Built(graph, keep(self.imports, "imports"), keep(self.calls, "calls"), keep(self.bases, "bases"))
+
 
 def node_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts)), 256)

@@ -6,6 +6,7 @@ import io
 import zipfile
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +46,29 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, MEMBER)
 
 
-def folder_files(spark: SparkSession, root: str) -> DataFrame:
-    """Members (as of an archive) for all files below a folder of any file system that Spark reads."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inside = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1].split(":")[-1] + "/", -1)
-    return found.select(F.lit(root).alias("archive"), inside.alias("path"), F.lit(False).alias("is_dir"), "length", F.lit(True).alias("crc_ok"), "content")
+def folder_files(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+    """Members (as of an archive) for all files below a folder that the driver and the executors reach.
+
+    The engine's own file sources leave out names that begin with ``_`` or ``.``, such as a package's first file, so the
+    driver lists the names and tasks read the contents.
+    """
+    system, base = FileSystem.from_uri(root) if "://" in root else (None, root)
+    listed = (system or LocalFileSystem()).get_file_info(FileSelector(base, recursive=True))
+    names = sorted(i.path for i in listed if i.type == FileType.File)
+    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("crc_ok", pa.bool_()), ("content", pa.binary())])
+
+    def run(batches):
+        system = FileSystem.from_uri(root)[0] if "://" in root else LocalFileSystem()
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with system.open_input_stream(path) as f:
+                    data = f.read()
+                inside = path[len(base.rstrip("/")) + 1 :]
+                yield pa.RecordBatch.from_pylist([{"archive": root, "path": inside, "is_dir": False, "length": len(data), "crc_ok": True, "content": data}], schema)
+
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    n = partitions or min(len(names) // 100 + 1, 10_000)
+    return paths.repartition(n).mapInArrow(run, MEMBER)
 
 
 def classified(members: DataFrame, patterns: list[str] | None = None) -> DataFrame:

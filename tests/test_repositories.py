@@ -5,7 +5,8 @@ import zipfile
 import pytest
 
 from repograph import constants as K
-from repograph.operators import assemble, build, contexts, resolve
+from repograph.operators import assemble, build, contexts, resolve, summarize
+from repograph.operators.graph import Graph
 from repograph.sources import files as sources
 
 REPOS = {
@@ -31,27 +32,48 @@ REPOS = {
 }
 
 
-def load(spark, folder, name):
-    for path, text in REPOS[name].items():
-        target = folder / path
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(text if isinstance(text, bytes) else text.encode())
-    members = sources.classified(sources.folder_files(spark, str(folder)))
-    return build.build(sources.parsed(members.where("accepted")), "root.zip")
-
-
-@pytest.fixture
-def repo(spark, tmp_path):
-    def make(name):
-        built = load(spark, tmp_path, name)
-        graph = resolve.resolved(built)
-        nodes = {r.id: r for r in graph.nodes.orderBy("seq").collect()}
-        name_of = lambda i: nodes[i].file_path if nodes[i].node_type in ("FILE", "FOLDER") else nodes[i].name
-        edges = [(name_of(r.source_id), r.type, name_of(r.target_id), r.label) for r in graph.edges.orderBy("seq").collect()]
-        collapsed = [(name_of(r.source_id), r.type, name_of(r.target_id), r.label) for r in graph.collapsed.orderBy("pos").collect()]
-        return graph, list(nodes.values()), edges, collapsed
-
-    return make
+@pytest.fixture(scope="module")
+def load(spark, tmp_path_factory):
+    """The stored tables of a repository, parsed and built once for all tests."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    made = {}
+
+    def get(name):
+        if name not in made:
+            folder = tmp_path_factory.mktemp(name)
+            for path, text in REPOS[name].items():
+                target = folder / "in" / path
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_bytes(text if isinstance(text, bytes) else text.encode())
+            members = sources.classified(sources.folder_files(spark, str(folder / "in")))
+            built = build.build(sources.parsed(members.where("accepted")).coalesce(1), "root.zip")
+            made[name] = built.stored(str(folder / "out"))
+        return made[name]
+
+    yield get
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.fixture(scope="module")
+def repo(load, tmp_path_factory):
+    """(graph, nodes in order, edges in order, collapsed edges in order) of a resolved repository."""
+    made = {}
+
+    def get(name):
+        if name not in made:
+            graph = resolve.resolved(load(name))
+            path = str(tmp_path_factory.mktemp(name) / "edges")
+            graph.edges.coalesce(1).write.parquet(path)
+            graph = Graph(graph.nodes, graph.nodes.sparkSession.read.parquet(path))
+            nodes = {r.id: r for r in graph.nodes.orderBy("seq").collect()}
+            name_of = lambda i: nodes[i].file_path if nodes[i].node_type in ("FILE", "FOLDER") else nodes[i].name
+            edges = [(name_of(r.source_id), r.type, name_of(r.target_id), r.label) for r in graph.edges.orderBy("seq").collect()]
+            collapsed = [(name_of(r.source_id), r.type, name_of(r.target_id), r.label) for r in graph.collapsed.orderBy("pos").collect()]
+            made[name] = graph, list(nodes.values()), edges, collapsed
+        return made[name]
+
+    return get
 
 
 def of(edges, kind):
@@ -67,9 +89,8 @@ def test_relative_imports(repo):
     ]
 
 
-def test_strict_relative_imports(spark, tmp_path):
-    built = load(spark, tmp_path, "relative")
-    labels = sorted(r.label for r in resolve.import_edges(built, strict=True).collect())
+def test_strict_relative_imports(load):
+    labels = sorted(r.label for r in resolve.import_edges(load("relative"), strict=True).collect())
     assert labels == ["from pkg import x", "from pkg.x import y"]
 
 
@@ -135,6 +156,7 @@ def test_script_modules(repo):
     assert of(edges, "IMPORTS") == [
         ("src/index.ts", "src/lib/index.js", "*"),
         ("src/index.ts", "src/components/Card.tsx", "*"),
+        ("src/index.ts", "src/deep/thing.js", "*"),
         ("src/index.ts", "src/utils/x.js", "*"),
     ]
 
@@ -174,20 +196,31 @@ def test_archive(spark, tmp_path):
     assert sources.upload_faults(archives, 5).count() == 2
 
 
-def test_same_for_any_partitions(spark, tmp_path):
-    built = load(spark, tmp_path, "alias")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        seen = []
-        for n in ("1", "7"):
-            spark.conf.set("spark.sql.shuffle.partitions", n)
-            seen.append(sorted(map(str, resolve.resolved(built).collapsed.select("source_id", "target_id", "type", "label").collect())))
-        assert seen[0] == seen[1]
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
-def test_import_block(spark, tmp_path):
-    built = load(spark, tmp_path, "alias")
-    row = contexts.import_block_context(resolve.resolved(built), built.imports).first()
+def test_same_for_any_partitions(spark, load):
+    seen = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted(map(str, resolve.call_edges(load("alias")).select("source_id", "target_id", "seq").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert seen[0] == seen[1] and len(seen[0]) == 2
+
+
+def test_import_block(load, repo):
+    row = contexts.import_block_context(repo("alias")[0], load("alias").imports).first()
     assert row.statements == ["from m import f", "from m import f as g", "import m"]
+
+
+def test_summaries(spark, load, repo, tmp_path):
+    graph = repo("methods")[0]
+
+    def keep(df, name):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}")
+
+    done = summarize.summarise(graph, load("methods").imports, 3, keep=keep).nodes
+    by = {r.name: r.summary for r in done.collect()}
+    assert by["m"] == "Explain what this function does, its parameters and its result. File: a.py"
+    assert by["root.zip"].startswith("Summarise this folder") and set(by) == {"root.zip", "a.py", "A", "m", "n"}
+    assert [(r.ok, r.failed) for r in summarize.level_counts(done).where("depth IS NULL").collect()] == [(5, 0)]
+    with pytest.raises(ValueError):
+        summarize.summarizer("none")

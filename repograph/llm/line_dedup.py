@@ -162,17 +162,48 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(apart).select("fp_a", "fp_b")
 
 
-def similar(a: str, b: str, similarity: float) -> Column:
-    """Whether edit similarity is at least so high.
+def alignment_cost(a: str, b: str, most: int, reach: int = 6) -> int:
+    """An upper bound of the edit distance: the cost of one alignment of the words, over ``most`` if that is exceeded.
 
-    Cheap bounds come first. Lines of as many words are at most as far apart as the words that differ in their places
-    are long; then narrow bands of the edit matrix are tried before the one that decides.
+    Where words differ, the nearest place at which both texts go on alike, at most ``reach`` words away in all, is taken,
+    and what lies between is replaced.
     """
-    most = f"cast(greatest(length({a}), length({b})) * {1 - similarity:.6f} + 1e-6 as int)"
-    words_a, words_b = f"split({a}, ' ')", f"split({b}, ' ')"
-    replaced = f"aggregate(zip_with({words_a}, {words_b}, (x, y) -> IF(x = y, 0, greatest(length(x), length(y)))), 0, (s, x) -> s + x)"
-    bands = " ".join(f"WHEN levenshtein({a}, {b}, least({n}, {most})) >= 0 THEN true" for n in (24, 96))
-    return F.expr(f"CASE WHEN size({words_a}) = size({words_b}) AND {replaced} <= {most} THEN true {bands} ELSE levenshtein({a}, {b}, {most}) >= 0 END")
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y) and cost <= most:
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        skip = next(((d, t - d) for t in range(1, reach + 1) for d in range(t + 1) if x[i + d : i + d + 1] == y[j + t - d : j + t - d + 1] != []), (1, 1))
+        cost += max(sum(map(len, x[i : i + skip[0]])) + skip[0], sum(map(len, y[j : j + skip[1]])) + skip[1])
+        i += skip[0]
+        j += skip[1]
+    return cost + max(sum(map(len, x[i:])) + len(x[i:]), sum(map(len, y[j:])) + len(y[j:]))
+
+
+def similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose texts (text_a, text_b) have at least that edit similarity, without the texts.
+
+    A cheap alignment bounds the distance from above and settles most; narrow bands of the edit matrix come next, and the
+    whole band decides the rest.
+    """
+    kept = [c for c in pairs.columns if c not in ("text_a", "text_b")]
+    schema = T.StructType([*(pairs.schema[c] for c in kept), *(T.StructField(c, T.StringType()) for c in ("text_a", "text_b"))])
+
+    def run(batches):
+        for batch in batches:
+            texts = [[], []]
+            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+                most = int(max(len(a), len(b)) * (1 - similarity) + 1e-6)
+                settled = alignment_cost(a, b, most) <= most
+                texts[0].append(None if settled else a)
+                texts[1].append(None if settled else b)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(t, pa.string()) for t in texts)], names=[*kept, "text_a", "text_b"])
+
+    most = f"cast(greatest(length(text_a), length(text_b)) * {1 - similarity:.6f} + 1e-6 as int)"
+    bands = " ".join(f"WHEN levenshtein(text_a, text_b, least({n}, {most})) >= 0 THEN true" for n in (24, 96))
+    return pairs.mapInArrow(run, schema).where(f"CASE WHEN text_a IS NULL THEN true {bands} ELSE levenshtein(text_a, text_b, {most}) >= 0 END").select(*kept)
 
 
 def _mark(name: bytes) -> int:
@@ -224,7 +255,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b, fp_a, fp_b) of the pairs that are similar."""
-    return _with_texts(_named(pairs, names), texts).where(similar("text_a", "text_b", similarity)).select("a", "b", "fp_a", "fp_b")
+    return similar_pairs(_with_texts(_named(pairs, names), texts), similarity).select("a", "b", "fp_a", "fp_b")
 
 
 def dropped_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -260,7 +291,7 @@ def dropped_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataF
     failed = to_pivot.join(sure, ["fp_a", "fp_b"], "left_anti").select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
     rest = beyond.union(around(members, work.keep(failed, "failed"))).distinct().join(tried, ["fp_a", "fp_b"], "left_anti")
     more = work.keep(_verified(crossing(rest, firm), names, texts, similarity), "more")
-    links = sure.union(more).select("a", "b").union(_with_texts(alike, texts).where(similar("text_a", "text_b", similarity)).select("a", "b"))
+    links = sure.union(more).select("a", "b").union(similar_pairs(_with_texts(alike, texts), similarity).select("a", "b"))
     labels = work.keep(connected_components(links, work), "labels").withColumnRenamed("node", "name")
     # the place that stays, of all lines that are not alone
     nodes = prints.where("NOT mixed").select("name", "place", "n").union(others.select("name", "place", "n"))

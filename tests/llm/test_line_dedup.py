@@ -118,6 +118,16 @@ def test_fingerprints():
     assert set(many[:5].tolist()) == {a} and many[5] == many[6]
 
 
+def test_alignment_bounds_the_distance():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = [str(w) for w in rng.choice(["a", "bb", "ccc", "dd"], int(rng.integers(1, 12)))]
+        b = [w for w in a if rng.random() < 0.8] + ["e"] * int(rng.integers(0, 2)) or ["f"]
+        x, y = " ".join(a), " ".join(b)
+        assert edit(x, y) <= ld.alignment_cost(x, y, 10**6)
+    assert ld.alignment_cost("one two three four", "one three four", 99) == 4 and ld.alignment_cost("a b", "a b", 0) == 0
+
+
 def test_keys_hold_every_near_pair():
     rng = np.random.default_rng(3)
     for blocks, agree in ((5, 2), (6, 3), (7, 4)):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from repograph import constants as K
@@ -10,6 +9,7 @@ from repograph.functions import scalars as S
 from repograph.operators import tasks
 from repograph.operators.aggregates import ordered_distinct, ordered_list, ordered_text, sorted_set
 from repograph.operators.graph import first_match
+from repograph.operators.ranking import numbered
 from repograph.queries.registry import query
 
 _long = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
@@ -242,8 +242,9 @@ def so_folder_children(t):
     """Folders first, then files, by name."""
     folders = t.documents.select(F.col("source").alias("parent"), F.col("lang").alias("name"), F.lit(0).alias("rank")).distinct()
     files = t.documents.select(F.col("source").alias("parent"), F.concat("doc_id", F.lit(".txt")).alias("name"), F.lit(2).alias("rank"))
-    w = Window.partitionBy("parent").orderBy("rank", "name")
-    return folders.union(files).select("parent", "name", F.row_number().over(w).cast("long").alias("place"))
+    block = F.struct("rank", F.left("name", F.lit(3)).alias("start"))
+    placed = numbered(folders.union(files), ["parent"], ["rank", "name"], block)
+    return placed.select("parent", "name", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY l_orderkey")

@@ -276,14 +276,14 @@ def as_markdown_doc(t):
 
 
 @query(
-    "WITH d AS (SELECT source AS s, doc_id, " + _cut("text", 6000) + " AS body FROM documents), parts AS ("
-    "SELECT '' AS s, '' AS n, '## Folder: corpus' || chr(10) || chr(10) || '- **Path:** `.`' || chr(10) || " + _NO_SUMMARY + " AS part "
-    "UNION ALL SELECT DISTINCT s, '', '### Folder: ' || s || chr(10) || chr(10) || '- **Path:** `' || s || '`' || chr(10) || " + _NO_SUMMARY + " FROM d "
-    "UNION ALL SELECT s, doc_id || '.txt', " + _section(4, "doc_id || '.txt'", "s || '/' || doc_id || '.txt'", "body") + " FROM d) "
-    "SELECT string_agg(part, '' ORDER BY s, n) AS document FROM parts"
+    "WITH d AS (SELECT source AS s, doc_id, " + _cut("text", 6000) + " AS body FROM documents) "
+    "SELECT 'corpus' AS place, '## Folder: corpus' || chr(10) || chr(10) || '- **Path:** `.`' || chr(10) || " + _NO_SUMMARY + " AS section "
+    "UNION ALL SELECT DISTINCT 'corpus/' || s, '### Folder: ' || s || chr(10) || chr(10) || '- **Path:** `' || s || '`' || chr(10) || " + _NO_SUMMARY + " FROM d "
+    "UNION ALL SELECT 'corpus/' || s || '/' || doc_id || '.txt', " + _section(4, "doc_id || '.txt'", "s || '/' || doc_id || '.txt'", "body") + " FROM d"
 )
 def as_markdown_project(t):
-    """The documents of a corpus as one project: folders by source, files by name."""
+    """The documents of a corpus as one project: folders by source, files by name; a row a section, with its place. The
+    sections one after the other by place are the document, which no task holds whole."""
     files = _corpus_files(t).withColumns({"id": F.concat(F.lit("F"), "doc_id"), "belongs_to": F.concat(F.lit("D"), "source"), "depth": F.lit(2), "seq": F.col("doc_id")}).drop("doc_id")
     null = lambda c: F.lit(None).cast(files.schema[c].dataType).alias(c)
     given = {"id", "node_type", "name", "file_path", "belongs_to", "depth", "seq"}
@@ -296,4 +296,5 @@ def as_markdown_project(t):
         F.lit("ROOT").alias("id"), F.lit("FOLDER").alias("node_type"), F.lit("corpus").alias("name"), F.lit(".").alias("file_path"), F.lit(None).cast("string").alias("belongs_to"),
         F.lit(0).alias("depth"), F.lit(0).cast("long").alias("seq"), *rest,
     )
-    return assemble.assemble(root.unionByName(folders).unionByName(files), 2)
+    rows = assemble.sections(root.unionByName(folders).unionByName(files), 2)
+    return rows.select(F.array_join(F.transform("sort_key", lambda k: k["name"]), "/").alias("place"), "section")

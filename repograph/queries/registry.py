@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repograph.shipping import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -24,7 +26,11 @@ def query(sql: str | None):
     """Registers a function of Tables under its name."""
 
     def register(function):
-        QUERIES[function.__name__] = lambda spark, folder: function(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return function(Tables(spark, folder))
+
+        QUERIES[function.__name__] = run
         if sql is not None:
             SQL[function.__name__] = sql
         return function

@@ -16,8 +16,12 @@ from repograph import constants as K
 from repograph.functions import scalars as S
 from repograph.functions.json_preview import json_preview
 from repograph.parsers import facts, python_source, script_source
+from repograph.shipping import ship
 
 MEMBER = "archive string, path string, is_dir boolean, length bigint, crc_ok boolean, content binary"
+MEMBER_ARROW = pa.schema(
+    [("archive", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("crc_ok", pa.bool_()), ("content", pa.binary())]
+)
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +29,7 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
 
     An archive is read by one task, a member at a time. A file that is no archive is one member without a path.
     """
-    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("crc_ok", pa.bool_()), ("content", pa.binary())])
+    schema = MEMBER_ARROW
 
     def run(batches):
         for batch in batches:
@@ -55,7 +59,7 @@ def folder_files(spark: SparkSession, root: str, partitions: int | None = None)
     system, base = FileSystem.from_uri(root) if "://" in root else (None, root)
     listed = (system or LocalFileSystem()).get_file_info(FileSelector(base, recursive=True))
     names = sorted(i.path for i in listed if i.type == FileType.File)
-    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("crc_ok", pa.bool_()), ("content", pa.binary())])
+    schema = MEMBER_ARROW
 
     def run(batches):
         system = FileSystem.from_uri(root)[0] if "://" in root else LocalFileSystem()
@@ -104,6 +108,7 @@ def parsed(files: DataFrame) -> DataFrame:
 
     Source is parsed in one narrow Python stage; text and configuration files keep their content, cut in the engine.
     """
+    ship(files.sparkSession)
     kind = S.file_kind(F.col("path"))
     rows = files.select("path", "content", kind.alias("kind")).where("kind IS NOT NULL")
 

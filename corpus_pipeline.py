@@ -15,7 +15,7 @@ from repograph.llm.storage import Workspace
 #: Prefix of columns that only live within a stage.
 OWN = "__pipeline_"
 #: A document goes if no language reaches this mean probability over its words, or if it has no letter.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 #: Near-duplicates: five-word shingles, and at most three of 64 bits apart.
 SHINGLE, BITS = 5, 3
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repograph.llm.bpe import op6_bpe_pairs
 from repograph.llm.chat_format import OP9_SQL, op9_chat_format
-from repograph.llm.decontaminate import op2_decontaminate
+from repograph.llm.decontaminate import OP2_SQL, op2_decontaminate
 from repograph.llm.language_crf import op5_language_crf
 from repograph.llm.license_scan import op3_license_scan
 from repograph.llm.line_dedup import op1_line_dedup
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL, "op10_topk_pivots": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op9_chat_format": OP9_SQL, "op10_topk_pivots": OP10_SQL}

@@ -1,9 +1,10 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from repograph.llm.decontaminate import Index, decontaminate, find, op2_decontaminate
+from repograph.llm.decontaminate import OP2_SQL, Index, decontaminate, find, op2_decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -82,3 +83,11 @@ def test_query(spark):
                 found |= x
         assert (got[r.doc_id].n_words, got[r.doc_id].n_hit, got[r.doc_id].n_items) == (len(w), len(hit), len(found))
     assert any(r.contaminated for r in got.values())
+
+
+def test_query_and_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    assert sorted(map(tuple, op2_decontaminate(spark, sf).collect())) == sorted(con.execute(OP2_SQL).fetchall())

@@ -21,8 +21,11 @@ SHINGLE, BITS = 5, 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letter or whose language stays open; a null text has none."""
+    """Without the documents that have no letter or whose language stays open; a null text has no letter. Where no document
+    has a language to learn from, letters alone decide."""
     model = language_crf.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_crf.identify(docs, model, keep=docs.columns, prefix=OWN)
     sure = (F.col(f"{OWN}lang_pred") != language_crf.UNKNOWN) & (F.col(f"{OWN}score") >= LEAST_SCORE)
     return _plain(found.where(sure), docs)

@@ -78,3 +78,43 @@ def test_tokens(staged):
 def test_run(spark, staged):
     got = cp.run(spark, SF)
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((r.doc_id, r.n_tokens) for r in staged[5])
+
+
+ODD = [
+    (1, "the house stands on the hill over there\nshared line of some words here", "en", "a", 10, "x"),
+    (2, "the dog runs over the road to the house\nshared line of some words here", "en", "a", None, "x"),
+    (2, "the dog runs over the road to the house\nshared line of some words here", "en", "a", None, "x"),
+    (3, None, "en", None, 0, None),
+    (4, "", None, None, 0, None),
+    (5, "12 34 !?", None, "b", 8, None),
+    (None, "das haus steht auf dem berg und der hund auch", "de", "b", 45, "y"),
+    (6, "long " * 30000, None, "b", 150000, "z"),
+]
+
+
+@pytest.mark.parametrize("with_languages", [True, False])
+def test_odd_documents_go_through_all_stages(spark, tmp_path, with_languages):
+    """Nulls, repeats, empty and long texts, and columns whose names stages use themselves."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    df = df.selectExpr("*", "'c' AS fp", "1 AS n_words", "'s' AS spans", "2 AS line", "3 AS sum", "4 AS n_kept")
+    if not with_languages:
+        df = df.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", *[c for c in df.columns if c not in ("doc_id", "text", "lang")])
+    spark.createDataFrame([(1, "not found anywhere in these texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, sizes = df, []
+    for k, (name, stage) in enumerate(cp.STAGES):
+        before = docs.columns
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == before
+        sizes.append(sorted((r.doc_id for r in docs.collect()), key=str))
+    assert sizes[0] == [1, 2, 2, 6, None] and sizes[1] == sizes[0]
+    assert sizes[2] == [1, 2, 6, None] == sizes[4]
+
+
+def test_empty_documents_go_through_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (name, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.count() == 0

@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from repograph.llm.textmap import map_texts
+from repograph.llm.textmap import map_texts, prepare, tidy
 
 #: A worker remembers the ids of so many words.
-MEMO = 200_000
+MEMO = 100_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: ASCII and the letters of the Latin-1 and Latin Extended-A blocks: texts of these are in NFC, lower-case to the same
 #: and a combining dot, and hold no other letters or numbers; the white space among them is ASCII.
@@ -270,6 +270,7 @@ def encode(documents: DataFrame, path: str, *, keep: list[str], text: str = "tex
 
 def decode(encoded: DataFrame, path: str, *, keep: list[str], ids: str = "ids") -> DataFrame:
     """The ``keep`` columns and the decoded text of an array of ids; null as the empty text."""
+    prepare(encoded.sparkSession)
     content = vocabulary(encoded.sparkSession, path)
     schema = T.StructType([*(encoded.schema[c] for c in keep), ENCODED["decoded"]])
 
@@ -278,7 +279,7 @@ def decode(encoded: DataFrame, path: str, *, keep: list[str], ids: str = "ids")
             texts = [_tokenizer(content).decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    return encoded.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)
+    return encoded.select(*dict.fromkeys([*keep, ids])).mapInArrow(tidy(run), schema)
 
 
 def digests(documents: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from repograph.llm.components import connected_components
 from repograph.llm.hashing import U64, WORDS_ONLY, mix, simhash, word_bounds, word_hashes
 from repograph.llm.storage import Workspace
-from repograph.llm.textmap import as_bytes, pieces
+from repograph.llm.textmap import as_bytes, pieces, tidy
 
 DISTANCE = 3
 SIMILARITY = 0.8
@@ -104,7 +104,7 @@ def occurrences(documents: DataFrame) -> DataFrame:
                     names=["id", "sum", "line", "fp", "name"],
                 )
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)
 
 
 def blocks_for(fingerprints: int) -> tuple[int, int]:
@@ -203,7 +203,7 @@ def similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
 
     most = f"cast(greatest(length(text_a), length(text_b)) * {1 - similarity:.6f} + 1e-6 as int)"
     bands = " ".join(f"WHEN levenshtein(text_a, text_b, least({n}, {most})) >= 0 THEN true" for n in (24, 96))
-    return pairs.mapInArrow(run, schema).where(f"CASE WHEN text_a IS NULL THEN true {bands} ELSE levenshtein(text_a, text_b, {most}) >= 0 END").select(*kept)
+    return pairs.mapInArrow(tidy(run), schema).where(f"CASE WHEN text_a IS NULL THEN true {bands} ELSE levenshtein(text_a, text_b, {most}) >= 0 END").select(*kept)
 
 
 def _mark(name: bytes) -> int:
@@ -237,7 +237,7 @@ def wanted_lines(documents: DataFrame, names: DataFrame) -> DataFrame:
                 texts = pa.array(list(found.values()), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), texts], names=["name", "line"])
 
-    return documents.select("text").mapInArrow(run, "name binary, line string").groupBy("name").agg(F.min("line").alias("line"))
+    return documents.select("text").mapInArrow(tidy(run), "name binary, line string").groupBy("name").agg(F.min("line").alias("line"))
 
 
 def _named(pairs: DataFrame, names: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def dropped_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataF
         "prints",
     )
     # fingerprints with more than one normalised line
-    mixed = prints.where("mixed").select("fp", F.col("name").alias("first"))
+    mixed = work.keep(prints.where("mixed").select("fp", F.col("name").alias("first")), "mixed-prints")
     others = work.keep(
         found.join(mixed, "fp").groupBy("fp", "first", "name").agg(F.min(place).alias("place"), F.count("*").alias("n")), "mixed"
     )
@@ -342,7 +342,7 @@ def dedup_lines(
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(after, pa.int64())], names=[*columns_before, *names])
 
-    return joined.withColumn(text, key(text).cast("string")).mapInArrow(run, schema)
+    return joined.withColumn(text, key(text).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from repograph.llm.components import connected_components
 from repograph.llm.gray_index import GrayIndex, forest, gray_rank, shared
 from repograph.llm.hashing import U64, simhash
 from repograph.llm.storage import Workspace
-from repograph.llm.textmap import map_texts
+from repograph.llm.textmap import map_texts, tidy
 
 SEED = 42
 LIMIT = 2
@@ -79,7 +79,7 @@ def _ranked(prints: DataFrame) -> DataFrame:
             rank = (gray_rank(codes) ^ _TOP).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], names=[*batch.schema.names, "rank"])
 
-    return prints.mapInArrow(run, schema)
+    return prints.mapInArrow(tidy(run), schema)
 
 
 def _blocks(ranked: DataFrame, size: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _blocks(ranked: DataFrame, size: int) -> DataFrame:
         if waiting:
             yield give(np.concatenate(held))
 
-    return ranked.repartitionByRange("rank").sortWithinPartitions("rank").select("fp").mapInArrow(run, schema)
+    return ranked.repartitionByRange("rank").sortWithinPartitions("rank").select("fp").mapInArrow(tidy(run), schema)
 
 
 def _visitors(blocks: DataFrame, nodes, limit: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _visitors(blocks: DataFrame, nodes, limit: int) -> DataFrame:
                         sent.append(some[s : s + PACKET].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(sent, pa.binary())], names=["block", "visitors"])
 
-    return blocks.select("block", "codes").mapInArrow(run, "block long, visitors binary")
+    return blocks.select("block", "codes").mapInArrow(tidy(run), "block long, visitors binary")
 
 
 def _search(units: DataFrame, limit: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _search(units: DataFrame, limit: int) -> DataFrame:
                 a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return units.mapInArrow(run, "a long, b long")
+    return units.mapInArrow(tidy(run), "a long, b long")
 
 
 def link_forest(prints: DataFrame, limit: int, work: Workspace) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repograph.llm.textmap import prepare
+
 SETTING = "spark.checkpoint.dir"
 
 
@@ -25,6 +27,7 @@ class Workspace:
     """Parquet tables of one run of an operator; a lost executor costs no more than the stage it was in."""
 
     def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.tables = 0

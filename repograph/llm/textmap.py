@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from repograph.shipping import ship
+
 #: Texts are handed over in pieces of about so many bytes (a longer text is a piece of its own).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Arrow batches between the engine and Python hold at most so much, in each running task.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 _TEXT = "__repograph_text"
 
@@ -29,6 +34,37 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         yield batch.slice(start, end - start)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers stay, and an executor's memory is shared by all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """The function over batches, giving memory back when a task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the workers, and lowers the session's limit of an Arrow batch, which an executor holds several
+    times over for each task."""
+    ship(spark)
+    size = spark.conf.get(BATCH_SETTING).lower()
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size[-1:])
+    if not 0 < int(size[:-1] if unit else size) * (unit or 1) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The texts in UTF-8, null as None."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -45,6 +81,7 @@ def map_texts(
 
     The plan is one narrow ArrowPython stage: no shuffle, and no more than one piece of texts in Python at a time.
     """
+    prepare(df.sparkSession)
     types = {f.name: to_arrow_type(f.dataType) for f in added.fields}
     schema = T.StructType([*(df.schema[c] for c in keep), *added.fields])
 
@@ -60,4 +97,4 @@ def map_texts(
                     names.append(name)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(_TEXT)).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(_TEXT)).mapInArrow(tidy(run), schema)

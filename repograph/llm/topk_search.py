@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repograph.llm.storage import Workspace
+from repograph.llm.textmap import tidy
 
 SCALE = 256
 PIVOTS = 32
@@ -61,7 +62,7 @@ def quantised(vectors: DataFrame, id_col: str, column: str, scale: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.int64()), pa.array(packed, pa.binary())], names=["id", "norm", "vector"])
 
     source = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{column}`").cast("array<double>").alias("vector"))
-    return source.mapInArrow(run, "id long, norm long, vector binary")
+    return source.mapInArrow(tidy(run), "id long, norm long, vector binary")
 
 
 def unpacked(vectors: list[bytes], width: int) -> np.ndarray:
@@ -143,10 +144,10 @@ def build_index(rows: DataFrame, width: int, most: int, centres: np.ndarray, wor
         if held:
             yield batch_of([give()])
 
-    keys = rows.mapInArrow(keyed, "pivot int, far double, id long, vector binary")
+    keys = rows.mapInArrow(tidy(keyed), "pivot int, far double, id long, vector binary")
     # the id is part of the order, so that any number of equal vectors is dealt to several tasks
     ordered = keys.repartitionByRange("pivot", "far", "id").sortWithinPartitions("pivot", "far", "id")
-    return work.keep(ordered.mapInArrow(packed, "pivot int, least double, most double, ids binary, vectors binary"), "annuli")
+    return work.keep(ordered.mapInArrow(tidy(packed), "pivot int, least double, most double, ids binary, vectors binary"), "annuli")
 
 
 class Best:
@@ -261,7 +262,7 @@ def top_k(
                     search_annuli(annuli, ids, q, to_pivot, most, least, best)
             yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
 
-        parts.append(index.mapInArrow(run, result))
+        parts.append(index.mapInArrow(tidy(run), result))
     found = spark.createDataFrame([], result)
     for part in parts:
         found = found.union(part)

@@ -29,6 +29,8 @@ from repograph.llm.textmap import map_texts, prepare, tidy
 
 #: A worker remembers the ids of so many words.
 MEMO = 100_000
+#: The pair index is made for pieces of about so many bytes: larger ones share more words.
+INDEX_BYTES = 1 << 20
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: ASCII and the letters of the Latin-1 and Latin Extended-A blocks: texts of these are in NFC, lower-case to the same
 #: and a combining dot, and hold no other letters or numbers; the white space among them is ASCII.
@@ -43,10 +45,32 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+# The Unicode version of the tokenizers library is 16.0 in its patterns and 17.0 in its lower case; Python's
+# tables are older and the pattern library's newer. Letters and numbers that 16.0 added to 15.1:
+ADDED_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7D2 A7D4 A7DA-A7DC 105C0-105F3 10D40-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 "
+    "113B7 113D1 113D3 116D0-116E3 11BC0-11BE0 11BF0-11BF9 13460-143FA 16100-1611D 16130-16139 16D40-16D6C 16D70-16D79 18CFF "
+    "1CCF0-1CCF9 1E5D0-1E5ED 1E5F0-1E5FA"
+)
+# Capital letters that 16.0 and 17.0 added or gave a small one, as first capital, first small letter, number.
+ADDED_CAPITALS = "1C89 1C8A 1, A7CB 264 1, A7CC A7CD 1, A7CE A7CF 1, A7D2 A7D3 1, A7D4 A7D5 1, A7DA A7DB 1, A7DC 19B 1, 10D50 10D70 22, 16EA0 16EBB 25"
+
+
+def added_letters() -> set[int]:
+    spans = [[int(x, 16) for x in span.split("-")] for span in ADDED_LETTERS.split()]
+    return {c for span in spans for c in range(span[0], span[-1] + 1)}
+
+
+def added_lower_case() -> dict[int, int]:
+    rows = [row.split() for row in ADDED_CAPITALS.split(",")]
+    return {int(a, 16) + i: int(b, 16) + i for a, b, n in rows for i in range(int(n))}
+
+
 def newer_characters() -> str:
-    """Ranges of a set: letters and numbers that the pattern library knows, but not Unicode as Python knows it."""
+    """Ranges of a set: letters and numbers that the pattern library knows, but not Unicode 16.0."""
     ranges: list[list[int]] = []
-    unknown = "".join(chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn")
+    known = added_letters()
+    unknown = "".join(chr(i) for i in range(0x110000) if i not in known and unicodedata.category(chr(i)) == "Cn")
     for c in map(ord, regex.findall(r"\p{L}|\p{N}", unknown)):
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
@@ -85,9 +109,9 @@ class Tokenizer:
         plain = pattern.replace(r"[\p{L}]", rf"[{_PLAIN_LETTERS}]").replace(r"[\p{N}]", "[0-9]")
         plain = plain.replace(r"\p{L}", _PLAIN_LETTERS).replace(r"\p{N}", "0-9")
         self.plain_pattern = None if "\\p" in plain else re.compile(plain)
-        # characters added to Unicode since the version that the tokenizers library has are neither letters nor numbers
         newer = newer_characters()
-        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.lower = added_lower_case()
+        self.rare = regex.compile(f"[{newer}{''.join(f'\\U{c:08x}' for c in self.lower)}]")
         for kind in (r"\p{L}", r"\p{N}") if newer else ():
             pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
         self.exact_pattern = regex.compile(pattern, regex.V1)
@@ -121,8 +145,10 @@ class Tokenizer:
         """The pieces that are merged each by itself, of a text without special tokens."""
         if self.plain_pattern and _PLAIN.match(text):
             return self.plain_pattern.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each character by itself: no final sigma
-        return (self.exact_pattern if self.newer and self.newer.search(text) else self.word_pattern).findall(text)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character by itself: no final sigma
+        if self.rare.search(text):
+            return self.exact_pattern.findall(text.lower().translate(self.lower))
+        return self.word_pattern.findall(text.lower())
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
@@ -258,14 +284,14 @@ def encode_and_decode(documents: DataFrame, path: str, *, keep: list[str], text:
         ids = tokenizer.encode(_texts(data))
         return {prefix + "ids": ids, prefix + "decoded": [tokenizer.decode(x) for x in ids]}
 
-    return map_texts(documents, text, keep, added, run)
+    return map_texts(documents, text, keep, added, run, INDEX_BYTES)
 
 
 def encode(documents: DataFrame, path: str, *, keep: list[str], text: str = "text", name: str = "ids") -> DataFrame:
     """The ``keep`` columns and the ids of each whole text."""
     content = vocabulary(documents.sparkSession, path)
     added = T.StructType([T.StructField(name, ENCODED["ids"].dataType, False)])
-    return map_texts(documents, text, keep, added, lambda data: {name: _tokenizer(content).encode(_texts(data))})
+    return map_texts(documents, text, keep, added, lambda data: {name: _tokenizer(content).encode(_texts(data))}, INDEX_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, *, keep: list[str], ids: str = "ids") -> DataFrame:
@@ -297,7 +323,7 @@ def digests(documents: DataFrame, path: str, *, keep: list[str], text: str = "te
             "decoded_sha256": [sha(tokenizer.decode(x).encode()) for x in ids],
         }
 
-    return map_texts(documents, text, keep, DIGESTS, run)
+    return map_texts(documents, text, keep, DIGESTS, run, INDEX_BYTES)
 
 
 def default_path() -> str:

@@ -76,6 +76,7 @@ def map_texts(
     keep: list[str],
     added: T.StructType,
     function: Callable[[list[bytes | None]], dict[str, object]],
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """The ``keep`` columns of ``df`` and the ``added`` ones, which ``function`` makes from a list of texts.
 
@@ -87,7 +88,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, _TEXT):
+            for piece in pieces(batch, _TEXT, piece_bytes):
                 made = function(as_bytes(piece.column(_TEXT)))
                 columns = [piece.column(c) for c in keep]
                 names = list(keep)

@@ -29,10 +29,7 @@ def test_hard_cases():
 
 
 def test_every_character():
-    """Characters that Python's and the library's Unicode tables know alike: all but those added since 15.0."""
-    import unicodedata
-
-    texts = [f"a{chr(i)}B" for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) not in ("Cn", "Cs")]
+    texts = [f":{chr(i)}B" for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
     bad = [t for t, w, g in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), OWN.encode(texts)) if w.ids != g]
     assert not bad, (len(bad), bad[:20])
 

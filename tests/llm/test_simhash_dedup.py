@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from repograph.llm.components import connected_components
@@ -52,10 +53,11 @@ def test_gray_index_search():
     assert len(node) == len(set(node.tolist())) < len(codes) and not set(node.tolist()) & set(root.tolist())
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("finish", [0, 20, 10**6])
+def test_components_of_chains_stars_and_loops(spark, finish):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 7), (200, 201), (201, 200)]
     work = Workspace(spark, "test")
-    rows = connected_components(spark.createDataFrame(links, "a long, b long"), work).collect()
+    rows = connected_components(spark.createDataFrame(links, "a long, b long"), work, finish).collect()
     groups = {}
     for r in rows:
         groups.setdefault(r.label, set()).add(r.node)

@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from repograph.llm.textmap import map_texts, prepare, tidy
 
 #: A worker remembers the ids of so many words.
-MEMO = 100_000
+MEMO = 250_000
 #: The pair index is made for pieces of about so many bytes: larger ones share more words.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 3 << 20
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: ASCII and the letters of the Latin-1 and Latin Extended-A blocks: texts of these are in NFC, lower-case to the same
 #: and a combining dot, and hold no other letters or numbers; the white space among them is ASCII.

@@ -16,8 +16,8 @@ from repograph.llm.storage import Workspace
 OWN = "__pipeline_"
 #: A document goes if no language reaches this mean probability over its words, or if it has no letter.
 LEAST_SCORE = 0.3
-#: Near-duplicates: five-word shingles, and at most three of 64 bits apart.
-SHINGLE, BITS = 5, 3
+#: Near-duplicates: five-word shingles; at most three of 64 bits apart, or with so similar sets of shingles.
+SHINGLE, BITS, SIMILARITY = 5, 3, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, with the smallest id."""
-    return simhash_dedup.one_of_each(docs, words=SHINGLE, limit=BITS)
+    return simhash_dedup.one_of_each(docs, words=SHINGLE, limit=BITS, similarity=SIMILARITY)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from repograph.llm.components import connected_components
 from repograph.llm.gray_index import GrayIndex, forest, gray_rank, shared
 from repograph.llm.hashing import U64, simhash
+from repograph.llm.shingle_links import band_keys, similar_links
 from repograph.llm.storage import Workspace
 from repograph.llm.textmap import map_texts, tidy
 
@@ -42,7 +43,8 @@ PACKET = 4096
 _TOP = U64(1 << 63)
 
 
-def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
+def shingle_hashes(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles, text by text, and how many each text has."""
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
@@ -60,7 +62,11 @@ def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
         stops = (ends[words - 1 :] - 1).tolist()
         hashes += [digest(joined[s:e], SEED) for s, e in zip(starts, stops)]
         counts[i] = len(stops)
-    return simhash(np.array(hashes, U64), counts)
+    return np.array(hashes, U64), counts
+
+
+def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
+    return simhash(*shingle_hashes(texts, words))
 
 
 def with_fingerprints(documents: DataFrame, keep: list[str], text: str, words: int, name: str = "fp") -> DataFrame:
@@ -69,6 +75,17 @@ def with_fingerprints(documents: DataFrame, keep: list[str], text: str, words: i
     return map_texts(documents, text, keep, added, lambda texts: {name: pa.array(fingerprints(texts, words).view(np.int64))})
 
 
+def with_bands(documents: DataFrame, keep: list[str], text: str, words: int) -> DataFrame:
+    """As ``with_fingerprints``, and the band keys of the shingles, null where there is none."""
+    added = T.StructType([T.StructField("fp", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False))])
+
+    def run(texts):
+        hashes, counts = shingle_hashes(texts, words)
+        return {"fp": pa.array(simhash(hashes, counts).view(np.int64)), "bands": band_keys(hashes, counts)}
+
+    return map_texts(documents, text, keep, added, run)
+
+
 def _ranked(prints: DataFrame) -> DataFrame:
     """With the Gray rank, shifted so that it sorts as a signed number."""
     schema = T.StructType([*prints.schema.fields, T.StructField("rank", T.LongType(), False)])
@@ -180,14 +197,32 @@ def near_duplicates(
     limit: int = LIMIT,
     carry: tuple[str, ...] = (),
     name: str = "simhash",
+    similarity: float | None = None,
 ) -> DataFrame:
     """(id, fp, component, group) and the ``carry`` columns for each document: fingerprint as a long, the smallest id
-    reachable, and the fingerprint that stands for the component."""
+    reachable, and the fingerprint that stands for the component. With ``similarity``, texts whose sets of shingles have
+    at least that Jaccard similarity link as well, however far apart their fingerprints are."""
     work = Workspace(documents.sparkSession, name)
     source = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
-    prints = work.keep(with_fingerprints(source, ["id", *carry], "text", words), "prints")
+    if similarity is None:
+        prints = work.keep(with_fingerprints(source, ["id", *carry], "text", words), "prints")
+    else:
+        source = source.withColumn("h", F.xxhash64(F.col("text").cast("string")))
+        prints = work.keep(with_bands(source, ["id", "h", *carry], "text", words), "prints")
     classes = work.keep(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    labels = connected_components(link_forest(classes, limit, work), work)
+    links = link_forest(classes, limit, work)
+    if similarity is not None:
+        links = work.keep(links, "forest")
+        near = links
+
+        def labelled(more):
+            found = connected_components(near if more is None else near.union(more), work)
+            return work.keep(found.withColumnsRenamed({"node": "fp"}), "linked")
+
+        nodes = work.keep(prints.where("bands IS NOT NULL").select("h", "fp", "bands").dropDuplicates(["h"]), "nodes")
+        texts = source.select("h", F.col("text").cast("string").alias("text"))
+        links = links.union(similar_links(nodes, texts, lambda t: shingle_hashes(t, words), similarity, labelled, work))
+    labels = connected_components(links, work)
     labels = work.keep(labels.withColumnsRenamed({"node": "fp"}), "labels")
     linked = labels.join(classes, "fp")
     least = work.keep(linked.groupBy("label").agg(F.min("first").alias("least")), "least")
@@ -199,12 +234,12 @@ def near_duplicates(
     return prints.join(component, "fp").select("id", "fp", "component", "group", *carry)
 
 
-def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int, limit: int) -> DataFrame:
+def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int, limit: int, similarity: float | None = None) -> DataFrame:
     """The rows of ``documents`` without near-duplicates: of each component one row with the smallest id, null last."""
     key, check = "__one_key", "__one_check"
     body = F.col(f"`{text}`").cast("string")
     rows = documents.withColumns({key: F.xxhash64(F.col(f"`{id_col}`"), body), check: F.hash(body)})
-    near = near_duplicates(rows, id_col=id_col, text=text, words=words, limit=limit, carry=(key, check))
+    near = near_duplicates(rows, id_col=id_col, text=text, words=words, limit=limit, carry=(key, check), similarity=similarity)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(key), F.col(check)))
     stays = near.groupBy("group").agg(first.alias("first")).select(F.col(f"first.{key}").alias(key), F.col(f"first.{check}").alias(check))
     # rows that are equal in id and text share a key

@@ -2,8 +2,7 @@
 
 Templates are short licence notices with mandatory key phrases. How many documents hold each of their words is counted
 over all documents; of each template the RARE words with the highest IDF are indexed, with postings (template, place).
-In a document the LOOKED_UP indexed words with the highest IDF are looked up: each of their places, less the place in a
-posting, is where that template would begin. Where enough different words agree on the beginning, the template's key
+Every indexed word that a document holds is looked up: each of its places, less the place in a posting, is where that template would begin. Where enough different words agree on the beginning, the template's key
 phrases are compared with the words that must then stand there. A template whose phrases all stand labels the document;
 the score is the highest share, weighted by IDF, of a template's words that stand in their places.
 
@@ -23,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RARE = 4
-LOOKED_UP = 8
+#: So many indexed words of a document are looked up, by falling IDF; None: all, as the index is as large as the templates.
+LOOKED_UP = None
 #: So many different looked-up words must agree on where a template begins.
 AGREE = 2
 
@@ -122,7 +122,7 @@ def scan(
     notices: tuple[Notice, ...] = NOTICES,
     base: dict[str, str] | None = None,
     rare: int = RARE,
-    looked_up: int = LOOKED_UP,
+    looked_up: int | None = LOOKED_UP,
     agree: int = AGREE,
 ) -> DataFrame:
     """The ``keep`` columns, n_words, places (start, label) of base phrases, matches (label, start, share), score."""
@@ -138,13 +138,14 @@ def scan(
     )
     need = F.array(*(F.lit(min(agree, rare, len(set(n.words)))) for n in notices))
 
+    held = F.array_intersect(_strings(ordered), "words")
     base_words = [p.split()[-1] for p in base]
     rows = source.select(
         *names,
         "words",
         F.size("words").cast("long").alias("n_words"),
         # in the order of falling IDF
-        F.slice(F.array_intersect(_strings(ordered), "words"), 1, looked_up).alias("found"),
+        (held if looked_up is None else F.slice(held, 1, looked_up)).alias("found"),
         F.arrays_overlap("words", _strings(base_words)).alias("may_base"),
     )
     no_votes = F.array().cast("array<struct<n:int,start:int,w:string>>")

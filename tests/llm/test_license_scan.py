@@ -90,3 +90,13 @@ def test_query(spark):
 def test_no_python_in_the_plan(spark):
     plan = ls.op3_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_every_notice_of_a_text_is_found(spark, tmp_path):
+    """However many notices a text holds, none is left out for the words of others."""
+    some = ("permission is hereby granted free", "subject to the terms", "redistribution and use", "permission to use copy", "this is free")
+    rows = [(1, " plain words between ".join(n.text for n in ls.NOTICES)), (2, ". ".join(n.text for n in ls.NOTICES if n.text.startswith(some)))]
+    rows += [(i, "some plain text of the house by the road") for i in range(3, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels for r in ls.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert got[1] == ",".join(sorted({n.label for n in ls.NOTICES})) and got[2] == "bsd,isc,mit,mpl,unlicense" and got[3] == ""

@@ -4,7 +4,8 @@ Fixed forms (see FORMS) are leftmost non-overlapping matches of each kind that a
 of key characters is a candidate. Its characters give its class (hex, alphanumeric, base64); a window slides over it,
 whose Shannon entropy is kept by adding the character that comes in and taking off the one that goes out, so a
 candidate costs its length whatever the window. Windows over the class's threshold give a span of kind ``entropy``,
-unless the allow-list suppresses the candidate. Spans are in code points, ends exclusive.
+unless the allow-list suppresses them: a form that begins with ^ suppresses the candidate, any other one the windows that
+overlap what it matches, or for a word the letters and digits around it. Spans are in code points, ends exclusive.
 
 Defined cases: a null or empty text has no spans; equal rows get equal spans; an empty table gives an empty one; a text
 or candidate of any length is seen whole.
@@ -35,11 +36,11 @@ KINDS = [*(f[0] for f in FORMS), ENTROPY]
 WINDOW = 20
 #: Bits a character over a window of WINDOW characters, by class.
 THRESHOLDS = {"hex": 2.9, "alphanumeric": 3.6, "base64": 3.7}
-#: Candidates that hold one of these are no secrets.
+#: What holds one of these is no secret: the candidate for a form of the whole, else the windows that overlap the place.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[-_]",
+    r"(?i)(?P<word>example|sample|dummy|placeholder|changeme|your[-_])",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"(.)\1{7}",
+    r"(.)\1{7,}",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[-0-9=_/+.]*$",
     r"^(sha(1|256|512)|md5)-",
@@ -80,14 +81,34 @@ def window_entropies(text: str, window: int) -> list[float]:
     return [math.log2(size) - t / size for t in out] if size else []
 
 
+def suppressed(candidate: str, window: int, allowed: list[re.Pattern]) -> bytearray:
+    """For each window, by its start, whether the allow-list suppresses it."""
+    out = bytearray(max(1, len(candidate) - window + 1))
+    for form in allowed:
+        for m in form.finditer(candidate):
+            if form.pattern.startswith(("^", "(?i)^")):
+                return bytearray(b"\1") * len(out)
+            start, end = m.span()
+            if "word" in form.groupindex:
+                while start and candidate[start - 1].isalnum():
+                    start -= 1
+                while end < len(candidate) and candidate[end].isalnum():
+                    end += 1
+            first = max(0, start - window + 1)
+            last = min(end, len(out))
+            out[first:last] = b"\1" * (last - first)
+    return out
+
+
 def entropy_spans(candidate: str, window: int, thresholds: dict[str, float], allowed: list[re.Pattern]) -> list[tuple[int, int]]:
     """Stretches of the candidate that are covered by windows over the threshold; none without a digit and a letter."""
-    if not any(c.isdigit() for c in candidate) or not any(c.isalpha() for c in candidate) or any(a.search(candidate) for a in allowed):
+    if not any(c.isdigit() for c in candidate) or not any(c.isalpha() for c in candidate):
         return []
+    hidden = suppressed(candidate, window, allowed)
     limit = thresholds[character_class(candidate)]
     out: list[tuple[int, int]] = []
     for i, bits in enumerate(window_entropies(candidate, window)):
-        if bits >= limit:
+        if bits >= limit and not hidden[i]:
             if out and out[-1][1] >= i:
                 out[-1] = (out[-1][0], i + window)
             else:

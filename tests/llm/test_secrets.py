@@ -82,3 +82,16 @@ def test_query(spark):
         told = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in b)
         assert g.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert ",".join(x for x in g.spans.split(",") if not x.startswith("entropy")) == told
+
+
+def test_allow_list_hides_only_what_it_matches():
+    """A name, a part of a path or a run of zero bytes beside a secret doesn't hide it."""
+    secret = "9fK3xQ7LmZ2pR8vT5wYb1N4cH6"
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQAAACD" + secret + "+Jd0Ss/Ue" + secret[::-1]
+    for text in (f"sample_token={secret}", f"/example/{secret}", f"{secret}/dummy/x", key):
+        spans = [(s, e) for s, k, e in secrets.find(text.encode(), ALLOWED) if secrets.KINDS[k] == "entropy"]
+        at = text.index(secret)
+        assert any(s <= at + 2 and e >= at + len(secret) - 2 for s, e in spans), text
+        assert not any(m.start() < e and m.end() > s for s, e in spans for m in re.finditer("sample|example|dummy|A{8}", text))
+    for text in (f"EXAMPLE{secret}", f"{secret}example", "0123456789abcdefghij0123456789", "id=" + "a1" + "x" * 40):
+        assert not [x for x in secrets.find(text.encode(), ALLOWED) if secrets.KINDS[x[1]] == "entropy"], text

@@ -86,6 +86,11 @@ def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not len(full):
         return out
     n = counts[full].astype(np.int64)
+    if n.max() <= 255:
+        sums = np.add.reduceat(_SPREAD[np.ascontiguousarray(hashes).view(np.uint8)].reshape(-1, 8), np.cumsum(n) - n, axis=0)
+        ones = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64) > (n // 2).astype(np.uint8)[:, None]
+        out[full] = np.packbits(ones, axis=1, bitorder="little").view(U64).ravel()
+        return out
     parts = (n + 254) // 255
     of = np.repeat(np.arange(len(full)), parts)
     first = np.cumsum(n) - n

@@ -1,25 +1,31 @@
 """Fuzzy line dedup (operator 1): SimHash, pigeonhole join, verified edit similarity, one line kept of each group.
 
 A line is normalised: A-Z lower-cased, digits made 0, other ASCII marks made spaces, words joined by one space. Lines of
-equal normalised text are copies. The SimHash of a line adds up hashes of its words (``fingerprints``). Lines are compared:
-
-* with the first line of the same fingerprint;
-* the first lines of two fingerprints with each other, if these differ in at most DISTANCE bits. The 64 bits are cut
-  into blocks, of which at least some must agree; every choice of so many blocks is a key of an equi-join. The number of
-  blocks follows from the number of fingerprints (``blocks_for``), so that buckets stay small; the pairs are the same.
-  Pairs that could only connect what verified pairs connect already are not compared: a bucket's members go with its
-  pivot first, then pairs across groups, so a large group of near copies costs its size, not its square.
-
-A pair links if its edit similarity, 1 - distance / longer length, is at least SIMILARITY. Of each connected group the
-occurrence that comes first by (id, hash of the text, line number) stays, and all others go, wherever they stand.
-
-Nothing grows with a group of copies but counts: copies are one row in all joins, join keys are spread as Spark splits
-hot partitions of stored tables, and only lines that take part in a pair have their text fetched; a bitmap of fixed size
-marks them for the scan.
+equal normalised text are copies. A feature is a word with how many of it came before in the line; features are dealt by
+their hash into classes, and a line's fingerprint is a row of blocks, one SimHash for each class (``block_keys``). An edited
+word touches two classes at most, its old and its new one, so of two lines that differ in fewer than half as many words as
+there are classes some block agrees. The number of classes grows with the line (``classes_of``), so a block always stands
+for CLASS_CHARS to twice as many characters:
+
+* long lines are candidates if one block of at least LONG_WORDS words agrees;
+* lines of under SHORT_CHARS characters have four classes, of which two with at least SHORT_WORDS words together must agree;
+* lines whose length is within STRADDLE of the next number of classes have the keys of both.
+
+Each agreement is a key of an equi-join. Candidates whose SimHashes over all features differ in over DISTANCE of 64 bits are
+left out. A pair links if its edit similarity, 1 - distance / longer length, is at least SIMILARITY. Pairs that could only
+connect what verified pairs connect already are not compared: a bucket's members go with its pivot first, then pairs across
+groups, then what failed with a pivot, so a large group of near copies costs its size, not its square, and groups are those
+of all candidate pairs. Of each group the occurrence that comes first by (id, hashes of the text, line number) stays, and all
+others go, wherever they stand.
+
+Nothing grows with a group of copies but counts: copies are one row in all joins of candidates, hot partitions of stored
+tables can be split by Spark, and only lines that take part in a pair have their text fetched, marked by a bitmap whose size
+follows their number.
 
 Defined cases: a null text stays null and has no lines; lines without a word always stay, and count as kept; null ids
-come first; rows equal in id and text are decided alike; an empty table gives an empty one; a line of any length is
-seen whole; other columns are passed on as they are, whatever their names.
+come first; rows are told apart by id and 128 bits of the text, and rows equal in both are decided alike; an empty table
+gives an empty one; a line of any length is seen whole; a line of one word has no near lines, only copies; other columns are
+passed on as they are, those named like a result as ``input_`` and the name.
 """
 
 from __future__ import annotations
@@ -36,12 +42,19 @@ from pyspark.sql import types as T
 from repograph.llm.components import connected_components
 from repograph.llm.hashing import U64, WORDS_ONLY, mix, simhash, word_bounds, word_hashes
 from repograph.llm.storage import Workspace
-from repograph.llm.textmap import as_bytes, pieces, tidy
+from repograph.llm.textmap import as_bytes, free_names, pieces, tidy
 
-DISTANCE = 3
 SIMILARITY = 0.8
-#: Bits of the bitmap that marks lines whose text is wanted: 2 MB, at any size.
-MARKS = 1 << 24
+#: Bits of the SimHash over all features; at an edit similarity of 0.8 few pairs differ in more.
+DISTANCE = 16
+CLASS_CHARS, LONG_WORDS = 32, 3
+SHORT_CHARS, SHORT_CLASSES, SHORT_WORDS = 64, 4, 2
+STRADDLE = 1.1
+#: Bits of the bitmap that marks lines whose text is wanted: 16 for each such line, between these powers of two. Beyond, more
+#: lines are fetched in vain, with the same result.
+LEAST_MARKS, MOST_MARKS = 20, 27
+#: A task remembers so many lines whose keys it has given; those it forgets it gives again.
+REMEMBERED = 1 << 16
 
 _LINES = bytes(0x30 if 0x30 <= b <= 0x39 else 0x0A if b == 0x0A else c for b, c in enumerate(WORDS_ONLY))
 
@@ -51,42 +64,98 @@ def normalised(text: bytes | None) -> list[bytes]:
     return [b" ".join(line.split()) for line in text.translate(_LINES).split(b"\n")] if text is not None else []
 
 
-#: Lines are told apart by so many bits of a sort key, and words by the rest.
-_LINE_BITS = U64(20)
+#: Bits of a sort key: the line, then its class, then the feature.
+_LINE_BITS, _CLASS_BITS = 20, 16
+_REST_BITS = 64 - _LINE_BITS - _CLASS_BITS
 
 
-def fingerprints(lines: list[bytes]) -> np.ndarray:
-    """Of each line: its features are (word, how many of it came before), so what two lines have of a common word
-    counts once for each time that both have it, and long lines are not near for their common words alone."""
+def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, feature), by line, of at most 2^20 lines: a feature is a hash of (word, how many of it came before)."""
     a, starts, ends = word_bounds(b"\n".join(lines))
     sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
     counts = np.diff(np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts)))
-    hashes = word_hashes(a, starts, ends) >> _LINE_BITS
-    rows = np.repeat(np.arange(len(lines), dtype=U64), counts)
-    out = []
-    for start in range(0, len(lines), 1 << int(_LINE_BITS)):
-        some = slice(*np.searchsorted(rows, [start, start + (1 << int(_LINE_BITS))]))
-        out.append(np.sort(((rows[some] - U64(start)) << (U64(64) - _LINE_BITS)) | hashes[some]))
-    ordered = np.concatenate(out) if out else np.zeros(0, U64)
+    word_bits = U64(64 - _LINE_BITS)
+    ordered = (np.repeat(np.arange(len(lines), dtype=U64), counts) << word_bits) | (word_hashes(a, starts, ends) >> U64(_LINE_BITS))
+    ordered.sort()
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     nth = np.arange(len(ordered)) - np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0))
-    word = ordered & ((U64(1) << (U64(64) - _LINE_BITS)) - U64(1))
-    return simhash(mix(word * U64(0x9E3779B97F4A7C15) + nth.astype(U64)), counts)
+    line = (ordered >> word_bits).astype(np.int64)
+    word = ordered & ((U64(1) << word_bits) - U64(1))
+    return line, mix(word * U64(0x9E3779B97F4A7C15) + nth.astype(U64))
+
+
+def classes_of(chars: np.ndarray) -> np.ndarray:
+    """How many classes a line of so many characters has; 0 for a short line."""
+    power = np.floor(np.log2(np.maximum(chars / CLASS_CHARS, 1.0)) + 1e-9)
+    classes = np.clip(1 << power.astype(np.int64), SHORT_CLASSES, 1 << _CLASS_BITS)
+    return np.where(chars < SHORT_CHARS, 0, classes)
+
+
+def block_keys(line: np.ndarray, feature: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of every key of every line, by line, from the features; ``chars`` has a length for each line."""
+    out = []
+    own, next_ = classes_of(chars), classes_of(chars * STRADDLE)
+    for classes, some in ((own, np.ones(len(chars), bool)), (next_, next_ != own)):
+        here = some[line]
+        at, value = line[here], feature[here]
+        dealt = np.where(classes, classes, SHORT_CLASSES).astype(U64) - U64(1)
+        packed = (at.astype(U64) << U64(64 - _LINE_BITS)) | ((value & dealt[at]) << U64(_REST_BITS)) | (value >> U64(64 - _REST_BITS))
+        packed.sort()
+        block = packed >> U64(_REST_BITS)
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+        words = np.diff(np.append(first, len(block)))
+        of = (block[first] >> U64(_CLASS_BITS)).astype(np.int64)
+        number = block[first] & U64((1 << _CLASS_BITS) - 1)
+        name = mix(simhash(mix(packed & U64((1 << (_REST_BITS + _CLASS_BITS)) - 1)), words) + ((classes[of].astype(U64) << U64(_CLASS_BITS)) + number) * U64(0x9E3779B97F4A7C15))
+        long_ = (classes[of] > 0) & (words >= LONG_WORDS)
+        out.append((of[long_], name[long_]))
+        short = np.flatnonzero(some & (classes == 0))
+        if len(short):
+            row = np.full(len(chars), -1)
+            row[short] = np.arange(len(short))
+            names, held = np.zeros((len(short), SHORT_CLASSES), U64), np.zeros((len(short), SHORT_CLASSES), np.int64)
+            cells = classes[of] == 0
+            names[row[of[cells]], number[cells].astype(np.int64)] = name[cells]
+            held[row[of[cells]], number[cells].astype(np.int64)] = words[cells]
+            for x, y in combinations(range(SHORT_CLASSES), 2):
+                enough = held[:, x] + held[:, y] >= SHORT_WORDS
+                out.append((short[enough], mix(mix(names[enough, x] + U64(x + 1)) + names[enough, y] + U64(y + 1))))
+    lines, keys = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(lines, kind="stable")
+    return lines[order], keys[order]
 
 
 def digest(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-OCCURRENCE = "id {0}, sum int, line int, fp long, name binary"
+def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line its SimHash over all features, and where its keys end in the keys of all."""
+    prints, ends, keys, before = [], [], [], 0
+    for start in range(0, len(lines), 1 << _LINE_BITS):
+        some = lines[start : start + (1 << _LINE_BITS)]
+        line, feature = features(some)
+        prints.append(simhash(mix(feature + U64(1)), np.bincount(line, minlength=len(some))))
+        chars = np.fromiter((len(x.decode()) if not x.isascii() else len(x) for x in some), np.int64, len(some))
+        of, own = block_keys(line, feature, chars)
+        ends.append(before + np.cumsum(np.bincount(of, minlength=len(some))))
+        keys.append(own)
+        before += len(own)
+    return tuple(np.concatenate(x) if x else np.zeros(0, U64) for x in (prints, ends, keys))
+
+
+ROW = ["id", "s1", "s2"]
+OCCURRENCE = "id {0}, s1 long, s2 long, line int, name binary, node long, fp long, keys array<long>"
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """Of (id, sum, text): a row for each line with a word."""
+    """Of (id, s1, s2, text): a row for each line with a word; ``node`` (of the name), SimHash and keys are null where the
+    task has given them just before."""
     schema = OCCURRENCE.format(documents.schema["id"].dataType.simpleString())
 
     def run(batches):
+        remembered = np.zeros(REMEMBERED, U64)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 row, number, lines = [], [], []
@@ -96,70 +165,80 @@ def occurrences(documents: DataFrame) -> DataFrame:
                             row.append(i)
                             number.append(k)
                             lines.append(line)
+                if not lines:
+                    continue
                 at = pa.array(row, pa.int64())
-                prints = fingerprints(lines).view(np.int64) if lines else np.zeros(0, np.int64)
-                names = pa.array(list(map(digest, lines)), pa.binary())
+                names = list(map(digest, lines))
+                nodes = np.frombuffer(b"".join(names), "<u8")[::2]
+                given, first = np.unique(nodes, return_index=True)
+                slot = (given & U64(REMEMBERED - 1)).astype(np.int64)
+                first = np.sort(first[remembered[slot] != given])
+                remembered[slot] = given
+                prints, ends, keys = fingerprints([lines[i] for i in first.tolist()])
+                held = np.zeros(len(lines), bool)
+                held[first] = True
+                place = np.where(held, np.cumsum(held) - 1, 0)
+                sizes = np.zeros(len(lines), np.int64)
+                sizes[first] = np.diff(ends, prepend=0)
+                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id").take(at), piece.column("sum").take(at), pa.array(number, pa.int32()), pa.array(prints), names],
-                    names=["id", "sum", "line", "fp", "name"],
+                    [
+                        *(piece.column(c).take(at) for c in ROW),
+                        pa.array(number, pa.int32()),
+                        pa.array(names, pa.binary()),
+                        pa.array(nodes.view(np.int64), mask=~held),
+                        pa.array(prints.view(np.int64)[place] if len(prints) else np.zeros(len(lines), np.int64), mask=~held),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)), mask=pa.array(~held)),
+                    ],
+                    names=[*ROW, "line", "name", "node", "fp", "keys"],
                 )
 
     return documents.mapInArrow(tidy(run), schema)
 
 
-def blocks_for(fingerprints: int) -> tuple[int, int]:
-    """Into how many blocks the bits are cut, and how many of them are a key: more for more fingerprints."""
-    blocks = 5 if fingerprints < 1 << 26 else 6 if fingerprints < 1 << 32 else 7
-    return blocks, blocks - DISTANCE
-
-
-def pigeonhole_keys(fp: Column, blocks: int, agree: int) -> Column:
-    """An array of keys: two fingerprints that differ in ``blocks - agree`` bits or fewer have one in common."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(signed))))
-    return F.array(*keys)
-
-
 def _near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(fp_a, fp_b), fp_a < fp_b, once each."""
-    ordered = df.select(F.least(a, b).alias("fp_a"), F.greatest(a, b).alias("fp_b"))
-    return ordered.where("fp_a < fp_b").distinct()
+    """(a, b), a < b, once each."""
+    ordered = df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ordered.where("a < b").distinct()
 
 
-def bucket_members(prints: DataFrame, blocks: int, agree: int) -> DataFrame:
-    """(key, fp, pivot) of the buckets with several distinct fingerprints; the pivot is the one with most lines."""
-    keyed = prints.select("fp", "n", F.explode(pigeonhole_keys(F.col("fp"), blocks, agree)).alias("key"))
+def bucket_members(found: DataFrame) -> DataFrame:
+    """(key, node, fp) of the buckets with several lines."""
+    keyed = found.where("keys IS NOT NULL").select("node", "fp", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
-    most = F.max(F.struct("n", "fp")).over(bucket)["fp"]
-    return keyed.select("key", "fp", most.alias("pivot"), F.count("*").over(bucket).alias("size")).where("size > 1").drop("size")
+    several = keyed.select("key", "node", "fp", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high")).where("low < high")
+    return several.select("key", "node", "fp").distinct()
+
+
+def with_pivots(members: DataFrame) -> DataFrame:
+    """With one line of the bucket: the least by a hash, so that one line leads in all buckets that it shares with another."""
+    order = F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("fp"))
+    pivots = members.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.fp").alias("pivot_fp"))
+    return members.join(pivots, "key")
 
 
 def beyond_pivot(members: DataFrame) -> DataFrame:
     """The near pairs of each bucket of which one at least is not near the pivot."""
-    far = members.where(~_near("fp", "pivot")).select("key", F.col("fp").alias("far"))
-    return _pairs(far.join(members.select("key", "fp"), "key").where((F.col("far") != F.col("fp")) & _near("far", "fp")), "far", "fp")
+    far = members.where(~_near("fp", "pivot_fp")).select("key", F.col("node").alias("far"), F.col("fp").alias("far_fp"))
+    return _pairs(far.join(members.select("key", "node", "fp"), "key").where((F.col("far") != F.col("node")) & _near("far_fp", "fp")), "far", "node")
 
 
 def around(members: DataFrame, some: DataFrame) -> DataFrame:
-    """All near pairs that have one of ``some`` fingerprints."""
-    own = members.join(some, "fp", "left_semi").select("key", F.col("fp").alias("own"))
-    return _pairs(own.join(members.select("key", "fp"), "key").where((F.col("own") != F.col("fp")) & _near("own", "fp")), "own", "fp")
+    """All near pairs that have one of ``some`` lines."""
+    own = members.join(some, "node", "left_semi").select("key", F.col("node").alias("own"), F.col("fp").alias("own_fp"))
+    return _pairs(own.join(members.select("key", "node", "fp"), "key").where((F.col("own") != F.col("node")) & _near("own_fp", "fp")), "own", "node")
 
 
 def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends have different labels; a fingerprint without one is its own."""
+    """The pairs whose ends have different labels; a line without one is its own."""
     for end in ("a", "b"):
-        pairs = pairs.join(labels.withColumnsRenamed({"node": f"fp_{end}", "label": f"label_{end}"}), f"fp_{end}", "left")
-    apart = F.coalesce("label_a", "fp_a") != F.coalesce("label_b", "fp_b")
-    return pairs.where(apart).select("fp_a", "fp_b")
+        pairs = pairs.join(labels.withColumnsRenamed({"node": end, "label": f"label_{end}"}), end, "left")
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    return pairs.where(apart).select("a", "b")
 
 
 def alignment_cost(a: str, b: str, most: int, reach: int = 6) -> int:
@@ -193,116 +272,98 @@ def similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [[], []]
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+            texts, able = [[], []], []
+            for i, (a, b) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())):
                 most = int(max(len(a), len(b)) * (1 - similarity) + 1e-6)
+                if abs(len(a) - len(b)) > most:
+                    continue
+                able.append(i)
                 settled = alignment_cost(a, b, most) <= most
                 texts[0].append(None if settled else a)
                 texts[1].append(None if settled else b)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(t, pa.string()) for t in texts)], names=[*kept, "text_a", "text_b"])
+            own = pa.array(able, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in kept), *(pa.array(t, pa.string()) for t in texts)], names=[*kept, "text_a", "text_b"])
 
     most = f"cast(greatest(length(text_a), length(text_b)) * {1 - similarity:.6f} + 1e-6 as int)"
     bands = " ".join(f"WHEN levenshtein(text_a, text_b, least({n}, {most})) >= 0 THEN true" for n in (24, 96))
     return pairs.mapInArrow(tidy(run), schema).where(f"CASE WHEN text_a IS NULL THEN true {bands} ELSE levenshtein(text_a, text_b, {most}) >= 0 END").select(*kept)
 
 
-def _mark(name: bytes) -> int:
-    """A line's place in the bitmap: the first three bytes of its name."""
-    return int.from_bytes(name[:3], "big")
-
-
 def wanted_lines(documents: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, line) with the normalised text of each of ``names``, and of few others that share a mark."""
-    marks = names.select(F.conv(F.hex(F.substring("name", 1, 3)), 16, 10).cast("long").alias("mark"))
-    maps = marks.groupBy((F.col("mark") / 32768).cast("long").alias("part")).agg(
-        F.expr("bitmap_construct_agg(mark % 32768)").alias("bits")
-    )
-    wanted = np.zeros(MARKS // 8, np.uint8)
-    for r in maps.collect():  # at most MARKS / 32768 rows of 4 KB
+    """(name, line) with the normalised text of each of ``names`` (node, name), and of others that share a mark."""
+    bits = min(MOST_MARKS, max(LEAST_MARKS, (16 * names.count()).bit_length()))
+    last = (1 << bits) - 1
+    marks = names.select(F.col("node").bitwiseAND(F.lit(last)).alias("mark"))
+    maps = marks.groupBy((F.col("mark") / 32768).cast("long").alias("part")).agg(F.expr("bitmap_construct_agg(mark % 32768)").alias("bits"))
+    wanted = np.zeros((last + 1) // 8, np.uint8)
+    for r in maps.toLocalIterator():  # at most 2^MOST_MARKS / 32768 rows of 4 KB
         wanted[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     held = documents.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def run(batches):
-        bits = held.value
+        marked = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                found = {}
-                for text in as_bytes(piece.column("text")):
-                    for line in normalised(text):
-                        if line:
-                            name = digest(line)
-                            mark = _mark(name)
-                            if bits[mark >> 3] >> (mark & 7) & 1:
-                                found[name] = line
+                lines = [line for text in as_bytes(piece.column("text")) for line in normalised(text) if line]
+                own = list(map(digest, lines))
+                mark = np.frombuffer(b"".join(own), "<u8")[::2] & U64(last)
+                here = np.flatnonzero(marked[(mark >> U64(3)).astype(np.int64)] >> (mark & U64(7)).astype(np.uint8) & 1)
+                found = {own[i]: lines[i] for i in here.tolist()}
                 texts = pa.array(list(found.values()), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), texts], names=["name", "line"])
 
-    return documents.select("text").mapInArrow(tidy(run), "name binary, line string").groupBy("name").agg(F.min("line").alias("line"))
+    texts = documents.select("text").mapInArrow(tidy(run), "name binary, line string")
+    return texts.join(names.select("name"), "name", "left_semi").groupBy("name").agg(F.first("line").alias("line"))
 
 
 def _named(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """With the first lines' names, a and b."""
+    """(a, b, name_a, name_b): should two lines share a node, the pairs of both."""
     for end in ("a", "b"):
-        pairs = pairs.join(names.withColumnsRenamed({"fp": f"fp_{end}", "name": end}), f"fp_{end}")
-    return pairs.select("a", "b", "fp_a", "fp_b")
+        pairs = pairs.join(names.withColumnsRenamed({"node": end, "name": f"name_{end}"}), end)
+    return pairs.select("a", "b", "name_a", "name_b")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, name_a, name_b) of the pairs that are similar."""
+    pairs = _named(pairs, names)
     for end in ("a", "b"):
-        pairs = pairs.join(texts.withColumnsRenamed({"name": end, "line": f"text_{end}"}), end)
-    return pairs
+        pairs = pairs.join(texts.withColumnsRenamed({"name": f"name_{end}", "line": f"text_{end}"}), f"name_{end}")
+    return similar_pairs(pairs, similarity)
 
 
-def _verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, fp_a, fp_b) of the pairs that are similar."""
-    return similar_pairs(_with_texts(_named(pairs, names), texts), similarity).select("a", "b", "fp_a", "fp_b")
+def near_links(documents: DataFrame, found: DataFrame, work: Workspace, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), names of similar lines; their components are those of all candidate pairs that are similar."""
+    members = work.keep(with_pivots(work.keep(bucket_members(found), "buckets")), "members")
+    # pairs with the pivots would connect all that is near one; of the other pairs those are compared that connect more
+    to_pivot = work.keep(_pairs(members.where(_near("fp", "pivot_fp")), "node", "pivot"), "to-pivot")
+    hoped = work.keep(connected_components(to_pivot, work), "hoped")
+    beyond = work.keep(beyond_pivot(members), "beyond")
+    tried = work.keep(to_pivot.union(crossing(beyond, hoped)), "tried")
+    # lines whose comparison with a pivot fails meet lines that take part here too
+    ends = to_pivot.union(beyond).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    names = work.keep(found.where("node IS NOT NULL").select("node", "name").join(ends, "node", "left_semi").distinct(), "names")
+    texts = work.keep(wanted_lines(documents, names), "texts")
+    sure = work.keep(_verified(tried, names, texts, similarity), "sure")
+    firm = work.keep(connected_components(sure, work), "firm")
+    failed = to_pivot.join(sure, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rest = beyond.union(around(members, work.keep(failed, "failed"))).distinct().join(tried, ["a", "b"], "left_anti")
+    more = work.keep(_verified(work.keep(crossing(rest, firm), "rest"), names, texts, similarity), "more")
+    return sure.union(more).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
 
 
 def dropped_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Of (id, sum, text): (id, sum, lines), the numbers of the lines to drop of each document that has some."""
+    """Of (id, s1, s2, text): (id, s1, s2, lines), the numbers of the lines to drop of each document that has some."""
     work = Workspace(documents.sparkSession, "line-dedup")
     found = work.keep(occurrences(documents), "occurrences")
-    place = F.struct("id", "sum", "line")
-    prints = work.keep(
-        found.groupBy("fp").agg(
-            F.min(F.struct("id", "sum", "line", "name")).alias("first"), F.min("name").alias("low"), F.max("name").alias("high"), F.count("*").alias("n")
-        ).select("fp", F.col("first.name").alias("name"), F.struct("first.id", "first.sum", "first.line").alias("place"), (F.col("low") != F.col("high")).alias("mixed"), "n"),
-        "prints",
-    )
-    # fingerprints with more than one normalised line
-    mixed = work.keep(prints.where("mixed").select("fp", F.col("name").alias("first")), "mixed-prints")
-    others = work.keep(
-        found.join(mixed, "fp").groupBy("fp", "first", "name").agg(F.min(place).alias("place"), F.count("*").alias("n")), "mixed"
-    )
-    blocks, agree = blocks_for(prints.count())
-    members = work.keep(bucket_members(prints, blocks, agree), "members")
-    # pairs with the pivots would connect all that is near one; of the other pairs those are compared that connect more
-    to_pivot = work.keep(_pairs(members.where(_near("fp", "pivot")), "fp", "pivot"), "to-pivot")
-    hoped = work.keep(connected_components(to_pivot.toDF("a", "b"), work), "hoped")
-    beyond = work.keep(beyond_pivot(members), "beyond")
-    tried = work.keep(to_pivot.union(crossing(beyond, hoped)), "tried")
-    names = prints.select("fp", "name")
-    alike = others.where(F.col("first") != F.col("name")).select(F.col("first").alias("a"), F.col("name").alias("b"))
-    taking_part = work.keep(_named(tried, names).select("a", "b").union(alike).select(F.explode(F.array("a", "b")).alias("name")).distinct(), "taking-part")
-    texts = work.keep(wanted_lines(documents, taking_part).join(taking_part, "name", "left_semi"), "texts")
-    sure = work.keep(_verified(tried, names, texts, similarity), "sure")
-    # where a comparison with a pivot failed, its other pairs are no longer covered; their lines took part above
-    firm = work.keep(connected_components(sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), work), "firm")
-    failed = to_pivot.join(sure, ["fp_a", "fp_b"], "left_anti").select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
-    rest = beyond.union(around(members, work.keep(failed, "failed"))).distinct().join(tried, ["fp_a", "fp_b"], "left_anti")
-    more = work.keep(_verified(crossing(rest, firm), names, texts, similarity), "more")
-    links = sure.union(more).select("a", "b").union(similar_pairs(_with_texts(alike, texts), similarity).select("a", "b"))
-    labels = work.keep(connected_components(links, work), "labels").withColumnRenamed("node", "name")
-    # the place that stays, of all lines that are not alone
-    nodes = prints.where("NOT mixed").select("name", "place", "n").union(others.select("name", "place", "n"))
-    grouped = labels.join(nodes, "name")
-    stays = work.keep(grouped.groupBy("label").agg(F.min("place").alias("stays")), "stays")
-    linked = labels.join(stays, "label").select("name", "stays")
-    kept = work.keep(
-        nodes.join(linked, "name", "left").where("n > 1 OR stays IS NOT NULL").select("name", F.coalesce("stays", "place").alias("stays")), "kept"
-    )
-    gone = found.select("id", "sum", "line", "name").join(kept, "name").where(~place.eqNullSafe(F.col("stays")))
-    return work.keep(gone.groupBy("id", "sum").agg(F.collect_set("line").alias("lines")), "gone")
+    labels = work.keep(connected_components(near_links(documents, found, work, similarity), work), "labels").withColumnRenamed("node", "name")
+    # only lines that are not alone go on: copies, and those of a group
+    repeated = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    grouped = repeated.join(labels, "name", "full").select("name", F.coalesce("label", "name").alias("label"))
+    place = F.struct(*ROW, "line")
+    several = work.keep(found.select(*ROW, "line", "name").join(work.keep(grouped, "grouped"), "name").select("label", place.alias("place")), "several")
+    stays = work.keep(several.groupBy("label").agg(F.min("place").alias("stays")), "stays")
+    gone = several.join(stays, "label").where(~F.col("place").eqNullSafe(F.col("stays")))
+    return work.keep(gone.select("place.*").groupBy(*ROW).agg(F.collect_set("line").alias("lines")), "gone")
 
 
 RESULT = ["n_lines", "n_kept"]
@@ -312,37 +373,33 @@ def dedup_lines(
     documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, prefix: str = ""
 ) -> DataFrame:
     """All columns, with the text rewritten, and the numbers of its lines before and after."""
-    key = lambda name: F.col(f"`{name}`")
-    body = key(text).cast("string")
-    total = F.hash(body)
-    source = documents.select(key(id_col).alias("id"), total.alias("sum"), body.alias("text"))
-    gone = dropped_lines(source, similarity).select(
-        F.col("id").alias("__gone_id"), F.col("sum").alias("__gone_sum"), F.col("lines").alias("__gone_lines")
-    )
-    joined = documents.join(gone, key(id_col).eqNullSafe(F.col("__gone_id")) & (total == F.col("__gone_sum")), "left").drop("__gone_id", "__gone_sum")
     names = [prefix + n for n in RESULT]
-    added = [T.StructField(n, T.LongType(), False) for n in names]
-    schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name == text else f for f in documents.schema.fields), *added])
-    at = documents.columns.index(text)
-
-    columns_before = documents.columns
+    passed = free_names(documents.columns, names)
+    own = [f"c{i}" for i in range(len(passed))]
+    at, key = documents.columns.index(text), f"c{documents.columns.index(id_col)}"
+    source = documents.toDF(*own).withColumn(own[at], F.col(own[at]).cast("string"))
+    marks = {"s1": F.xxhash64(own[at]), "s2": F.xxhash64(F.lit(1), F.col(own[at]))}
+    gone = dropped_lines(source.select(F.col(key).alias("id"), *(c.alias(n) for n, c in marks.items()), F.col(own[at]).alias("text")), similarity)
+    same = F.col(key).eqNullSafe(F.col("id")) & (marks["s1"] == F.col("s1")) & (marks["s2"] == F.col("s2"))
+    joined = source.join(gone, same, "left").select(*own, "lines")
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(own, source.schema.fields)), *(T.StructField(n, T.LongType(), False) for n in RESULT)])
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, own[at]):
                 texts, before, after = [], [], []
-                for whole, lines in zip(as_bytes(piece.column(text)), piece.column("__gone_lines").to_pylist()):
-                    own = [] if whole is None else whole.split(b"\n")
-                    gone = set(lines or ())
-                    left = [x for k, x in enumerate(own) if k not in gone]
-                    before.append(len(own))
+                for whole, lines in zip(as_bytes(piece.column(own[at])), piece.column("lines").to_pylist()):
+                    every = [] if whole is None else whole.split(b"\n")
+                    drop = set(lines or ())
+                    left = [x for k, x in enumerate(every) if k not in drop]
+                    before.append(len(every))
                     after.append(len(left))
                     texts.append(None if whole is None else b"\n".join(left))
-                columns = [piece.column(c) for c in columns_before]
+                columns = [piece.column(c) for c in own]
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(after, pa.int64())], names=[*columns_before, *names])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(after, pa.int64())], names=[*own, *RESULT])
 
-    return joined.withColumn(text, key(text).cast("string")).mapInArrow(tidy(run), schema)
+    return joined.mapInArrow(tidy(run), schema).toDF(*passed, *names)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -70,6 +70,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def free_names(columns: list[str], results: list[str]) -> list[str]:
+    """The columns' names next to results: one that a result has too, in any case of letters, gets ``input_`` in front."""
+    taken, out = {r.lower() for r in results}, []
+    for name in columns:
+        new = name
+        while new.lower() in taken or (new != name and new in columns):
+            new = f"input_{new}"
+        out.append(new)
+    return out
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -80,22 +91,25 @@ def map_texts(
 ) -> DataFrame:
     """The ``keep`` columns of ``df`` and the ``added`` ones, which ``function`` makes from a list of texts.
 
-    The plan is one narrow ArrowPython stage: no shuffle, and no more than one piece of texts in Python at a time.
+    The plan is one narrow ArrowPython stage: no shuffle, and no more than one piece of texts in Python at a time. A kept
+    column that has an added one's name is returned as ``input_`` and the name.
     """
     prepare(df.sparkSession)
     types = {f.name: to_arrow_type(f.dataType) for f in added.fields}
-    schema = T.StructType([*(df.schema[c] for c in keep), *added.fields])
+    own = [f"__keep{i}" for i in range(len(keep))]
+    schema = T.StructType([*(T.StructField(n, df.schema[c].dataType, df.schema[c].nullable) for n, c in zip(own, keep)), *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, _TEXT, piece_bytes):
                 made = function(as_bytes(piece.column(_TEXT)))
-                columns = [piece.column(c) for c in keep]
-                names = list(keep)
+                columns = [piece.column(c) for c in own]
+                names = list(own)
                 for name, kind in types.items():
                     value = made[name]
                     columns.append(value if isinstance(value, pa.Array) else pa.array(value, type=kind))
                     names.append(name)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(_TEXT)).mapInArrow(tidy(run), schema)
+    source = df.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(own, keep)), F.col(f"`{text}`").cast("string").alias(_TEXT))
+    return source.mapInArrow(tidy(run), schema).toDF(*free_names(keep, list(types)), *types)

@@ -42,7 +42,7 @@ def test_same_as_brute_force(spark, seed):
     rows += [(1025, [1e300] * 8), (1030, [0.0] * 8), (1030, [1.0] * 8), (1035, [])]
     want = brute(rows, lambda i: i % 5 == 0)
     assert run(spark, rows, annulus=16) == want
-    assert run(spark, rows, pivots=3, sample=20, query_block=40, annulus=50) == want
+    assert run(spark, rows, pivots=3, sample=20, packet=7, annulus=50) == want
 
 
 def test_few_and_none(spark):
@@ -58,30 +58,34 @@ def test_large_components_stay_exact(spark):
 
 
 def test_annuli_are_left_out():
+    """Bounds leave out many annuli, and none that holds a vector of the score."""
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.integers(200, 220, (400, 8)), rng.integers(-220, -200, (400, 8))])
     most = int((x * x).sum(axis=1).max())
     centres = tk.choose_pivots(tk.raised(x, most), 2)
     d = tk.distances(tk.raised(x, most), centres)
-    annuli, seen = [], []
+    parts = []
     for p in range(2):
         own = np.flatnonzero(d.argmin(axis=1) == p)
         own = own[np.argsort(d[own, p])]
-        for s in range(0, len(own), 50):
-            part = own[s : s + 50]
-            annuli.append((p, d[part[0], p], d[part[-1], p], part.astype("<i8").tobytes(), x[part].astype("<i4").tobytes()))
-    q = x[:3]
-    best = tk.Best(3, 5)
-    original, tk.inner = tk.inner, lambda a, b: (seen.append(len(b)), original(a, b))[1]
-    try:
-        tk.search_annuli(annuli, np.arange(3), q, tk.distances(np.c_[q, np.zeros(3)], centres), most, np.full(3, np.iinfo(np.int64).min), best)
-    finally:
-        tk.inner = original
-    assert sum(seen) <= 400
+        parts += [(p, own[s : s + 50]) for s in range(0, len(own), 50)]
+    pivot, least, far = (np.array(v) for v in zip(*((p, d[i[0], p], d[i[-1], p]) for p, i in parts)))
+    q = x[::40]
     scores = q @ x.T
-    for i in range(3):
-        order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-scores[i, j], j))[:5]
-        assert best.id[best.query == i].tolist() == order
+    fifth = np.sort(scores, axis=1)[:, -5]
+    able = tk.reaches(tk.bounds(tk.distances(tk._flat(q), centres), pivot, least, far), q, fifth, most)
+    assert able.mean() <= 0.5
+    for j, (_, own) in enumerate(parts):
+        assert able[(scores[:, own] >= fifth[:, None]).any(axis=1), j].all()
+
+
+def test_one_plan_for_any_number_of_queries(spark):
+    """Two searches through the index, however many packets of queries there are, and a hot shell of equal vectors."""
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(i, [float(i % 7), float(i % 11)]) for i in range(300, 500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans = [tk.top_k(df, F.expr("id % 2 = 0"), packet=n) for n in (3, 500)]
+    assert [p._jdf.queryExecution().logical().toString().count("MapInArrow") for p in plans] == [3, 3]
+    assert sorted(map(tuple, plans[0].collect())) == sorted(map(tuple, plans[1].collect())) == brute(rows, lambda i: i % 2 == 0)
 
 
 def test_query_and_sql(spark):

@@ -1,8 +1,8 @@
 """The document of a graph: sections in the order of a walk, joined.
 
 Folders come before files and those before other kinds, then by name; in a file, code comes by line; methods follow their
-class. A node's place is an array of (rank, name, line, order) from the root on, found level by level with joins; sorting by it
-walks the tree.
+class. A node's place is an array of (rank, name, line, order) from the root on; sorting by it walks the tree. How deep the tree is
+comes from the nodes' ``depth``, where it isn't given.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def shown(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("node_type").isin(*RANKED) | F.col("start_line").isNotNull())
 
 
-def ordered(nodes: DataFrame, depth: int) -> DataFrame:
+def ordered(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes with ``sort_key`` and ``level``; ``nodes`` has seq."""
 
     def key(_: str):
@@ -44,7 +44,7 @@ def ordered(nodes: DataFrame, depth: int) -> DataFrame:
     return descend(shown(nodes), key, depth)
 
 
-def sections(nodes: DataFrame, depth: int) -> DataFrame:
+def sections(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """(sort_key, id, section): the heading of a node is two levels below its depth."""
     rows = ordered(nodes, depth)
     for name, kind in (("imports", "array<struct<code_snippet:string>>"), ("props", "array<string>"), ("hooks_used", "array<string>")):
@@ -53,7 +53,7 @@ def sections(nodes: DataFrame, depth: int) -> DataFrame:
     return rows.select("sort_key", "id", node_section(F.col("level") + 2).alias("section"))
 
 
-def assemble(nodes: DataFrame, depth: int) -> DataFrame:
+def assemble(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """One row, ``document``: as long as the document, so for one project; ``sections`` is the distributed form."""
     parts = F.sort_array(F.collect_list(F.struct("sort_key", "id", "section")))
     text = F.array_join(F.transform(parts, lambda p: p["section"]), "")
@@ -66,7 +66,7 @@ def html_page(markdown_title: str, body: str) -> str:
     return f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>{markdown_title}</title></head>\n<body>\n{body}\n</body></html>\n"
 
 
-def write_sections(graph: Graph, depth: int, path: str) -> None:
+def write_sections(graph: Graph, path: str, depth: int | None = None) -> None:
     """The sections as text files in order, so that their concatenation is the document; range-partitioned by place."""
     rows = sections(graph.nodes, depth)
     rows.repartitionByRange("sort_key").sortWithinPartitions("sort_key").select("section").write.option("lineSep", "").text(path)

@@ -1,7 +1,8 @@
 """The graph of a set of files: nodes in the order of a walk (files before folders, by name), and structural edges.
 
-``seq`` of a node is (path key, ord): the path key is an array of (0 for a file or 1 for a folder, name), one for each level,
-which sorts as the walk goes; ``ord`` counts the nodes of a file. ``seq`` of an edge is (phase, first, n, second): the
+Each project (an archive, a folder) has a tree of its own: ids and places hold its name. ``seq`` of a node is (path key,
+ord): the path key is an array of (0 for a file or 1 for a folder, name), the project first and then one for each level, which
+sorts as the walk goes; ``ord`` counts the nodes of a file. ``seq`` of an edge is (phase, first, n, second): the
 phase in which it arises, and the places of what it arises from. So order is a sort key, and no step numbers all rows.
 """
 
@@ -26,7 +27,7 @@ class Built:
     graph: Graph
     imports: DataFrame  # file_id, file_seq, ord and the import's parts
     calls: DataFrame  # file_id, file_seq and the call's parts
-    bases: DataFrame  # class_id, class_seq, ord, base_name
+    bases: DataFrame  # project, class_id, class_seq, ord, base_name
 
     def stored(self, path: str) -> Built:
         """The tables written below ``path`` and read again: files are parsed once, and the joins to come start from tables."""
@@ -43,11 +44,11 @@ def node_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts)), 256)
 
 
-def path_key(path: Column, is_file: Column) -> Column:
+def path_key(project: Column, path: Column, is_file: Column) -> Column:
     parts = F.filter(F.split(path, "/", -1), lambda p: (p != "") & (p != "."))
     last = F.size(parts) - 1
     kinds = F.transform(parts, lambda p, i: F.struct(F.when(is_file & (i == last), 0).otherwise(1).alias("d"), p.alias("n")))
-    return kinds.cast("array<struct<d:int,n:string>>")
+    return F.concat(F.array(F.struct(F.lit(1).alias("d"), project.alias("n"))), kinds).cast("array<struct<d:int,n:string>>")
 
 
 def edge_seq(phase: int, first: Column, n: Column, second: Column) -> Column:
@@ -55,33 +56,37 @@ def edge_seq(phase: int, first: Column, n: Column, second: Column) -> Column:
 
 
 def build(files: DataFrame, root_name: str | None = None) -> Built:
-    """From ``sources.files.parsed``. ``root_name`` is the name of the folder at the root."""
+    """From ``sources.files.parsed``. ``root_name`` is the name of the folders at the roots, by default the project's last part."""
+    if "project" not in files.columns:
+        files = files.withColumn("project", F.lit(""))
+    project = F.col("project")
     null = lambda kind: F.lit(None).cast(kind)
-    folder_id = lambda path: node_id(F.lit("FOLDER"), path)
+    folder_id = lambda path: node_id(F.lit("FOLDER"), project, path)
     file_type = F.when(F.col("kind").isin("PYTHON", "SCRIPT"), "FILE").otherwise(F.col("kind"))
-    tree = path_tree(files.select("path")).where("NOT is_file")
-    name = F.when(F.col("path") == ".", F.lit(root_name or ".")).otherwise(F.col("name"))
+    tree = path_tree(files.select("project", "path"), within=("project",)).where("NOT is_file")
+    own_name = F.lit(root_name) if root_name else F.when(project == "", ".").otherwise(F.regexp_extract(project, "([^/]*)/*$", 1))
+    name = F.when(F.col("path") == ".", own_name).otherwise(F.col("name"))
     common = {
         "language": null("string"), "module_path": null("string"), "start_line": null("int"), "end_line": null("int"), "docstring": null("string"),
         "signature": null("string"), "is_method": null("boolean"), "access_modifier": null("string"), "code_snippet": null("string"), "raw_content": null("string"),
         "imports_used": null("array<string>"), "hooks_used": null("array<string>"), "renders_components": null("array<string>"), "summary": null("string"),
     }
-    columns = ["id", "node_type", "name", "depth", "belongs_to", "file_path", *common, "seq"]
+    columns = ["id", "project", "node_type", "name", "depth", "belongs_to", "file_path", *common, "seq"]
 
     def rows(df: DataFrame, **own: Column) -> DataFrame:
-        every = common | own
+        every = common | {"project": project} | own
         return df.select(*(every[c].alias(c) for c in columns))
 
     folders = rows(
         tree, id=folder_id(F.col("path")), node_type=F.lit("FOLDER"), name=name, depth=F.col("depth"), file_path=F.col("path"),
         belongs_to=F.when(F.col("parent").isNotNull(), folder_id(F.col("parent"))),
-        seq=F.struct(path_key(F.col("path"), F.lit(False)).alias("path"), F.lit(0).alias("ord")).cast(SEQ),
+        seq=F.struct(path_key(project, F.col("path"), F.lit(False)).alias("path"), F.lit(0).alias("ord")).cast(SEQ),
     )
     parts = F.filter(F.split("path", "/", -1), lambda p: (p != "") & (p != "."))
-    placed = files.withColumns({"parts": parts, "key": path_key(F.col("path"), F.lit(True)), "node_type": file_type})
+    placed = files.withColumns({"parts": parts, "key": path_key(project, F.col("path"), F.lit(True)), "node_type": file_type})
     placed = placed.withColumns(
         {
-            "file_id": node_id(F.col("node_type"), F.col("path")),
+            "file_id": node_id(F.col("node_type"), project, F.col("path")),
             "file_depth": F.size("parts"),
             "folder": F.when(F.size("parts") == 1, ".").otherwise(F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/")),
         }
@@ -91,8 +96,8 @@ def build(files: DataFrame, root_name: str | None = None) -> Built:
         placed, id=F.col("file_id"), node_type=F.col("node_type"), name=F.element_at("parts", -1), depth=F.col("file_depth"), belongs_to=folder_id(F.col("folder")),
         file_path=F.col("path"), language=F.col("language"), module_path=F.col("module_path"), raw_content=F.col("raw_content"), seq=file_seq,
     )
-    code = placed.select("path", "file_id", "file_depth", "key", F.explode("nodes").alias("n"))
-    code_id = lambda n: node_id(F.col("n.node_type") if n is None else F.lit("CLASS"), F.col("path"), F.col("n.ord") if n is None else n)
+    code = placed.select("project", "path", "file_id", "file_depth", "key", F.explode("nodes").alias("n"))
+    code_id = lambda n: node_id(F.col("n.node_type") if n is None else F.lit("CLASS"), project, F.col("path"), F.col("n.ord") if n is None else n)
     method = F.col("n.parent") >= 0
     code_nodes = rows(
         code, id=code_id(None), node_type=F.col("n.node_type"), name=F.col("n.name"), depth=F.col("file_depth") + F.when(method, 2).otherwise(1),
@@ -106,7 +111,7 @@ def build(files: DataFrame, root_name: str | None = None) -> Built:
     import_rows = imports.select("file_id", "block_id", F.struct(F.col("key").alias("path"), F.lit(0).alias("ord")).cast(SEQ).alias("file_seq"), "ord", "i.*")
     calls = placed.select("file_id", file_seq.alias("file_seq"), F.explode("calls").alias("c")).select("file_id", "file_seq", "c.*")
     bases = code.where("n.node_type = 'CLASS'").select(
-        code_id(None).alias("class_id"), F.struct(F.col("key").alias("path"), (F.col("n.ord") + 1).alias("ord")).cast(SEQ).alias("class_seq"), F.posexplode("n.bases").alias("ord", "base_name")
+        "project", code_id(None).alias("class_id"), F.struct(F.col("key").alias("path"), (F.col("n.ord") + 1).alias("ord")).cast(SEQ).alias("class_seq"), F.posexplode("n.bases").alias("ord", "base_name")
     )
     return Built(Graph(nodes, structural_edges(nodes)), import_rows, calls, bases)
 

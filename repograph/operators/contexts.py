@@ -1,4 +1,7 @@
-"""What is told of a node when it is summarised: neighbours and children as ordered lists, gathered with one aggregate each."""
+"""What is told of a node when it is summarised: neighbours and children as ordered lists, gathered with one aggregate each.
+
+``of`` are the nodes that are told of, by default all; edges of others are left out before they are joined.
+"""
 
 from __future__ import annotations
 
@@ -29,21 +32,27 @@ def _gather(rows: DataFrame, key: str, text: Column, name: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("id")).agg(ordered_list(text, F.col("pos")).alias(name))
 
 
-def callers(graph: Graph, edge_type: str = "CALLS") -> DataFrame:
-    return _gather(graph.predecessors(edge_type), "target_id", caller_text(), "callers")
+def callers(graph: Graph, edge_type: str = "CALLS", of: DataFrame | None = None) -> DataFrame:
+    return _gather(graph.predecessors(edge_type, of), "target_id", caller_text(), "callers")
 
 
-def callees(graph: Graph) -> DataFrame:
-    return _gather(graph.successors("CALLS"), "source_id", callee_text(), "callees")
+def callees(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    return _gather(graph.successors("CALLS", of), "source_id", callee_text(), "callees")
 
 
-def imports_used(graph: Graph, edge_type: str = "USES_IMPORT", name: str = "imports_used") -> DataFrame:
-    return _gather(graph.successors(edge_type).where("node_type = 'FILE'"), "source_id", module_text(), name)
+def imports_used(graph: Graph, edge_type: str = "USES_IMPORT", name: str = "imports_used", of: DataFrame | None = None) -> DataFrame:
+    return _gather(graph.successors(edge_type, of).where("node_type = 'FILE'"), "source_id", module_text(), name)
 
 
-def children(graph: Graph) -> DataFrame:
+def children(graph: Graph, of: DataFrame | None = None) -> DataFrame:
     """(parent, pos) and the child's columns, in the order of the edges."""
-    return graph.successors("CONTAINS").withColumnRenamed("source_id", "parent")
+    return graph.successors("CONTAINS", of).withColumnRenamed("source_id", "parent")
+
+
+def _nodes(graph: Graph, kind: str, of: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes of a kind, among ``of`` if that is given, and their ids for the edges' joins."""
+    rows = (graph.nodes if of is None else of).where(F.col("node_type") == kind)
+    return rows, None if of is None else rows.select("id")
 
 
 def summary_map(rows: DataFrame, parent: str = "parent") -> DataFrame:
@@ -68,49 +77,55 @@ def _with(nodes: DataFrame, *parts: DataFrame) -> DataFrame:
     return nodes
 
 
-def function_context(graph: Graph) -> DataFrame:
+def function_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    rows, ids = _nodes(graph, "FUNCTION", of)
     classes = graph.nodes.where("node_type = 'CLASS'").select(F.col("id").alias("belongs_to"), F.col("name").alias("class_name"))
-    rows = graph.nodes.where("node_type = 'FUNCTION'").join(classes, "belongs_to", "left")
+    rows = rows.join(classes, "belongs_to", "left")
     rows = rows.withColumn("class_name", F.when(F.coalesce("is_method", F.lit(False)), F.col("class_name")))
-    return _with(rows, callers(graph), callees(graph), imports_used(graph))
+    return _with(rows, callers(graph, of=ids), callees(graph, ids), imports_used(graph, of=ids))
 
 
-def class_context(graph: Graph) -> DataFrame:
+def class_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
     """``imports_used`` of a class is always empty."""
-    bases = graph.successors("INHERITS_FROM").where("node_type = 'CLASS'")
-    methods = graph.successors("CONTAINS").where("node_type = 'FUNCTION' AND is_method")
+    rows, ids = _nodes(graph, "CLASS", of)
+    bases = graph.successors("INHERITS_FROM", ids).where("node_type = 'CLASS'")
+    methods = graph.successors("CONTAINS", ids).where("node_type = 'FUNCTION' AND is_method")
     shown = F.when(F.coalesce("signature", F.lit("")) != "", F.col("signature")).otherwise(F.col("name"))
-    rows = graph.nodes.where("node_type = 'CLASS'").withColumn("imports_used", F.array().cast("array<string>"))
+    rows = rows.withColumn("imports_used", F.array().cast("array<string>"))
     return _with(rows, _gather(bases, "source_id", _named("`", F.col("name"), "`"), "inherits_from"), _gather(methods, "source_id", _named("`", shown, "`"), "methods"))
 
 
-def top_level_context(graph: Graph) -> DataFrame:
-    rows = graph.nodes.where("node_type = 'NON_FUNCTION_NON_CLASS'")
-    return _with(rows, callees(graph).withColumnRenamed("callees", "calls_made"), imports_used(graph))
+def top_level_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    rows, ids = _nodes(graph, "NON_FUNCTION_NON_CLASS", of)
+    return _with(rows, callees(graph, ids).withColumnRenamed("callees", "calls_made"), imports_used(graph, of=ids))
 
 
-def component_context(graph: Graph) -> DataFrame:
+def component_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
     """Callers are those that render it, then those that call it."""
-    edges = graph.collapsed.where("type IN ('RENDERS', 'CALLS')").withColumn("rank", F.when(F.col("type") == "RENDERS", 0).otherwise(1))
+    own, _ = _nodes(graph, "REACT_COMPONENT", of)
+    into = graph.collapsed.join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    edges = into.where("type IN ('RENDERS', 'CALLS')").withColumn("rank", F.when(F.col("type") == "RENDERS", 0).otherwise(1))
     rows = edges.select("target_id", "rank", "pos", F.col("source_id").alias("id")).join(graph.nodes, "id")
     found = rows.groupBy(F.col("target_id").alias("id")).agg(ordered_list(caller_text(), F.col("rank"), F.col("pos")).alias("callers"))
-    return _with(graph.nodes.where("node_type = 'REACT_COMPONENT'"), found)
+    return _with(own, found)
 
 
-def hook_context(graph: Graph) -> DataFrame:
-    return _with(graph.nodes.where("node_type = 'REACT_HOOK'"), callers(graph), callees(graph))
+def hook_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    rows, ids = _nodes(graph, "REACT_HOOK", of)
+    return _with(rows, callers(graph, of=ids), callees(graph, ids))
 
 
-def import_block_context(graph: Graph, imports: DataFrame) -> DataFrame:
+def import_block_context(graph: Graph, imports: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Each import block with its statements, each once in their order, rebuilt where the source is missing."""
     written = S.strip(F.col("code_snippet"))
     line = F.when(F.coalesce(written, F.lit("")) != "", written).otherwise(S.import_line(F.col("type"), F.col("module"), F.col("level"), F.col("name"), F.col("alias")))
     found = imports.groupBy(F.col("block_id").alias("id")).agg(F.array_distinct(ordered_list(line, F.col("ord"))).alias("statements"))
-    return _with(graph.nodes.where("node_type = 'IMPORT_BLOCK'"), found)
+    return _with(_nodes(graph, "IMPORT_BLOCK", of)[0], found)
 
 
-def file_context(graph: Graph) -> DataFrame:
-    inside = children(graph)
+def file_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    own, ids = _nodes(graph, "FILE", of)
+    inside = children(graph, ids)
     kind = F.col("node_type")
     class_text = F.when(kind == "CLASS", _named("`", F.col("name"), "`")).when(kind == "REACT_COMPONENT", _named("`", F.col("name"), "` (React Component)"))
     function_text = F.when(kind == "FUNCTION", _named("`", F.col("name"), "`")).when(kind == "REACT_HOOK", _named("`", F.col("name"), "` (React Hook)"))
@@ -121,14 +136,15 @@ def file_context(graph: Graph) -> DataFrame:
     )
     some = lambda c: F.filter(c, lambda x: x.isNotNull())
     lists = lists.select("id", some("classes").alias("contained_classes"), some("functions").alias("contained_functions"), "contained_blocks_count")
-    rows = graph.nodes.where("node_type = 'FILE'").join(lists.select("id", "contained_blocks_count"), "id", "left").fillna(0, ["contained_blocks_count"])
-    return _with(rows, lists.drop("contained_blocks_count"), imports_used(graph, "IMPORTS", "imports_made"), summary_map(inside))
+    rows = own.join(lists.select("id", "contained_blocks_count"), "id", "left").fillna(0, ["contained_blocks_count"])
+    return _with(rows, lists.drop("contained_blocks_count"), imports_used(graph, "IMPORTS", "imports_made", ids), summary_map(inside))
 
 
-def folder_context(graph: Graph) -> DataFrame:
+def folder_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
     """``contained_files`` has source files; text and configuration files show in the summaries only."""
-    inside = children(graph)
+    own, ids = _nodes(graph, "FOLDER", of)
+    inside = children(graph, ids)
     name = _named("`", F.col("name"), "`")
     files = _gather(inside.where("node_type = 'FILE'"), "parent", name, "contained_files")
     folders = _gather(inside.where("node_type = 'FOLDER'"), "parent", name, "contained_folders")
-    return _with(graph.nodes.where("node_type = 'FOLDER'"), files, folders, summary_map(inside))
+    return _with(own, files, folders, summary_map(inside))

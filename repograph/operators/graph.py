@@ -9,6 +9,7 @@ the type and label of the last.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +39,12 @@ def collapse(edges: DataFrame) -> DataFrame:
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    #: The collapsed view, where it is stored already.
+    stored_view: DataFrame | None = None
 
-    @property
+    @cached_property
     def collapsed(self) -> DataFrame:
-        return collapse(self.edges)
+        return collapse(self.edges) if self.stored_view is None else self.stored_view
 
     def find(self, node_type: str | None = None, depth: int | None = None, **attributes) -> DataFrame:
         """Nodes of a type and depth whose attributes are equal; None asks for nodes that have none."""

@@ -1,7 +1,7 @@
 """References between files and code, resolved by joins: imports, inheritance, calls, used imports, rendered components.
 
 Each rule that takes the first match in the order of the walk is a minimum over (rank, seq) after an equi-join, also where
-the rule is about endings or prefixes of paths: those are made keys first.
+the rule is about endings or prefixes of paths: those are made keys first. Names mean something within their project only.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ def _files(built: Built) -> DataFrame:
 
 
 def modules(built: Built) -> DataFrame:
-    """(module, target_id): the first file of each module path."""
-    rows = _files(built).where("module_path IS NOT NULL").select(F.col("module_path").alias("module"), F.col("id").alias("target_id"), "seq")
-    return first_match(rows, ["module"], [F.col("seq")]).select("module", "target_id")
+    """(project, module, target_id): the first file of each module path."""
+    rows = _files(built).where("module_path IS NOT NULL").select("project", F.col("module_path").alias("module"), F.col("id").alias("target_id"), "seq")
+    return first_match(rows, ["project", "module"], [F.col("seq")]).select("project", "module", "target_id")
 
 
 def python_imports(built: Built, strict: bool = False) -> DataFrame:
     """Import records of Python files with ``base``, the module that they name."""
-    own = _files(built).where("language = 'python'").select(F.col("id").alias("file_id"), F.col("module_path").alias("own_module"))
+    own = _files(built).where("language = 'python'").select("project", F.col("id").alias("file_id"), F.col("module_path").alias("own_module"))
     rows = built.imports.join(own, "file_id")
     base = S.relative_module(F.col("own_module"), F.coalesce("level", F.lit(0)), F.when(F.col("module") != "", F.col("module")), strict)
     return rows.withColumn("base", F.when(F.col("type") == "import", F.col("name")).otherwise(base))
@@ -40,7 +40,7 @@ def import_edges(built: Built, strict: bool = False) -> DataFrame:
     item = (F.col("type") == "from") & (F.col("name") != "*")
     label = F.when(item, F.concat(F.lit("from "), F.col("base"), F.lit(" import "), F.col("name"))).otherwise(F.col("alias"))
     named = rows.where(item | (F.col("base") != "")).withColumn("label", label)
-    python = named.join(modules(built).withColumnRenamed("module", "base"), "base").select("file_id", "file_seq", "ord", "target_id", "label")
+    python = named.join(modules(built).withColumnRenamed("module", "base"), ["project", "base"]).select("file_id", "file_seq", "ord", "target_id", "label")
     script = script_targets(built).select("file_id", "file_seq", "ord", "target_id", F.col("name").alias("label"))
     found = python.unionByName(script)
     seq = edge_seq(IMPORTS, F.col("file_seq"), F.col("ord"), F.col("file_seq"))
@@ -49,50 +49,52 @@ def import_edges(built: Built, strict: bool = False) -> DataFrame:
 
 def script_targets(built: Built) -> DataFrame:
     """Script imports with ``target_id``, by the path that a relative one names or the ending that another one does."""
-    own = _files(built).where("language <> 'python'").select(F.col("id").alias("file_id"), "file_path")
+    own = _files(built).where("language <> 'python'").select("project", F.col("id").alias("file_id"), "file_path")
     rows = built.imports.where("module <> ''").join(own, "file_id")
-    every = _files(built).select(F.col("id").alias("target_id"), F.col("file_path").alias("target_path"), F.col("seq").alias("target_seq"))
+    every = _files(built).select("project", F.col("id").alias("target_id"), F.col("file_path").alias("target_path"), F.col("seq").alias("target_seq"))
     keys = ["file_id", "file_seq", "ord", "name"]
 
     relative = rows.where(F.col("module").startswith("."))
     target = S.normal_path(S.join_path(S.folder_of(F.col("file_path")), F.col("module")))
     wanted = F.array(*(F.struct(F.lit(k).alias("rank"), F.concat(target, F.lit(s)).alias("key")) for k, s in enumerate(K.MODULE_SUFFIXES)))
     beyond = F.array(F.struct(F.lit(len(K.MODULE_SUFFIXES)).alias("rank"), target.alias("key")))
-    probes = relative.select(*keys, F.explode(F.concat(wanted, beyond)).alias("w")).select(*keys, "w.rank", "w.key")
+    probes = relative.select("project", *keys, F.explode(F.concat(wanted, beyond)).alias("w")).select("project", *keys, "w.rank", "w.key")
     whole = every.withColumns({"key": F.col("target_path"), "last": F.lit(False)})
     # all beginnings of a path that a dot follows, for the last rank
     dots = F.filter(F.sequence(F.lit(1), F.length("target_path")), lambda i: F.substr(F.col("target_path"), i, F.lit(1)) == ".")
     starts = every.select("*", F.explode(F.transform(dots, lambda i: F.left(F.col("target_path"), i - 1))).alias("key")).withColumn("last", F.lit(True))
-    by_path = probes.join(whole.unionByName(starts), "key").where((F.col("rank") == len(K.MODULE_SUFFIXES)) | ~F.col("last"))
+    by_path = probes.join(whole.unionByName(starts), ["project", "key"]).where((F.col("rank") == len(K.MODULE_SUFFIXES)) | ~F.col("last"))
 
     other = rows.where(~F.col("module").startswith("."))
     alias = F.when(F.col("module").startswith("@/"), F.substr("module", F.lit(3))).when(F.col("module").startswith("~"), F.substr("module", F.lit(2))).otherwise(F.col("module"))
     named = other.withColumn("alias_path", alias).where(F.col("alias_path").contains("/") | F.col("alias_path").isin(*K.BARE_ALIASES))
-    named = named.withColumn("key", S.file_name(F.col("alias_path")))
     stems = F.array_distinct(F.filter(F.array(*(F.when(F.col("target_path").endswith(s), F.left(F.col("target_path"), F.length("target_path") - len(s))) for s in K.MODULE_SUFFIXES)), lambda x: x.isNotNull()))
-    tails = every.select("target_id", "target_seq", F.explode(stems).alias("stem")).withColumn("tail", S.file_name(F.col("stem")))
-    bare = F.array(*(F.when(F.col("tail").endswith(a) & (F.col("tail") != a), F.lit(a)) for a in K.BARE_ALIASES))
-    endings = F.filter(F.concat(F.array(F.col("tail")), bare), lambda x: x.isNotNull())
-    by_end = named.join(tails.select("target_id", "target_seq", "stem", F.explode(endings).alias("key")), "key").where(F.col("stem").endswith(F.col("alias_path")))
+    tails = every.select("project", "target_id", "target_seq", F.explode(stems).alias("stem"))
+    # the first file for each ending that an import names is found before the imports are joined, so no name is a hot key
+    endings = F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.xxhash64(F.right(F.col("stem"), n)))
+    asked = named.select("project", "alias_path", F.xxhash64("alias_path").alias("ending")).distinct()
+    ended = tails.where("stem <> ''").withColumn("ending", F.explode(endings)).join(asked, ["project", "ending"]).where(F.col("stem").endswith(F.col("alias_path")))
+    first = first_match(ended.select("project", "alias_path", "target_id", "target_seq"), ["project", "alias_path"], [F.col("target_seq")])
+    by_end = named.join(first, ["project", "alias_path"])
     found = by_path.select(*keys, "rank", "target_id", "target_seq").unionByName(by_end.select(*keys, F.lit(0).alias("rank"), "target_id", "target_seq"))
     return first_match(found, keys, [F.col("rank"), F.col("target_seq")])
 
 
 def inheritance_edges(built: Built) -> DataFrame:
     """To every class of the base's name, but itself."""
-    classes = built.graph.nodes.where("node_type = 'CLASS'").select(F.col("name").alias("base_name"), F.col("id").alias("target_id"), F.col("seq").alias("target_seq"))
-    found = built.bases.join(classes, "base_name").where("class_id <> target_id")
+    classes = built.graph.nodes.where("node_type = 'CLASS'").select("project", F.col("name").alias("base_name"), F.col("id").alias("target_id"), F.col("seq").alias("target_seq"))
+    found = built.bases.join(classes, ["project", "base_name"]).where("class_id <> target_id")
     seq = edge_seq(INHERITS, F.col("class_seq"), F.col("ord"), F.col("target_seq"))
     return found.select(F.col("class_id").alias("source_id"), "target_id", F.lit("INHERITS_FROM").alias("type"), F.lit(None).cast("string").alias("label"), seq.alias("seq"))
 
 
 def import_aliases(built: Built, strict: bool = False) -> DataFrame:
-    """(file_id, key, base): what a name of a file's imports stands for. The last record of a name counts; the module that
+    """(project, file_id, key, base): what a name of a file's imports stands for. The last record of a name counts; the module that
     a ``from`` record gave it stays, even if a plain import takes the name later."""
     rows = python_imports(built, strict).where("base IS NOT NULL AND name <> '*'")
-    rows = rows.select("file_id", "ord", F.coalesce(F.when(F.col("alias") != "", F.col("alias")), F.col("name")).alias("key"), "base", "type")
+    rows = rows.select("project", "file_id", "ord", F.coalesce(F.when(F.col("alias") != "", F.col("alias")), F.col("name")).alias("key"), "base", "type")
     from_base = F.max_by(F.when(F.col("type") == "from", F.col("base")), F.when(F.col("type") == "from", F.col("ord")))
-    return rows.groupBy("file_id", "key").agg(F.coalesce(from_base, F.max_by("base", "ord")).alias("base"))
+    return rows.groupBy("project", "file_id", "key").agg(F.coalesce(from_base, F.max_by("base", "ord")).alias("base"))
 
 
 def _functions(built: Built) -> DataFrame:
@@ -123,7 +125,9 @@ def call_edges(built: Built, strict: bool = False) -> DataFrame:
     known = from_file.unionByName(from_code).withColumn("wanted", rest)
     functions = _functions(built)
     here = functions.select("file_id", F.col("name").alias("call_name"), F.col("target_id").alias("here_id"))
-    aliases = import_aliases(built, strict).withColumnRenamed("key", "first").join(modules(built).select(F.col("module").alias("base"), F.col("target_id").alias("module_file")), "base")
+    aliases = import_aliases(built, strict).withColumnRenamed("key", "first").join(
+        modules(built).select("project", F.col("module").alias("base"), F.col("target_id").alias("module_file")), ["project", "base"]
+    ).drop("project")
     there = functions.select(F.col("file_id").alias("module_file"), F.col("name").alias("wanted"), F.col("target_id").alias("there_id"))
     found = known.join(here, ["file_id", "call_name"], "left").join(aliases, ["file_id", "first"], "left").join(there, ["module_file", "wanted"], "left")
     found = found.withColumn("target_id", F.coalesce("here_id", "there_id")).where("target_id IS NOT NULL AND target_id <> caller_id")
@@ -137,13 +141,13 @@ def used_import_edges(built: Built, imported: DataFrame, strict: bool = False) -
     kinds = ["FUNCTION", "CLASS", "NON_FUNCTION_NON_CLASS"]
     classes = nodes.where("node_type = 'CLASS'").select(F.col("id").alias("belongs_to"), F.col("belongs_to").alias("class_file"))
     code = nodes.where(F.col("node_type").isin(*kinds)).join(classes, "belongs_to", "left")
-    code = code.select("id", "seq", F.coalesce("class_file", "belongs_to").alias("file_id"), F.array_position(F.array(*map(F.lit, kinds)), F.col("node_type")).alias("rank"), F.posexplode("imports_used").alias("n", "used"))
+    code = code.select("project", "id", "seq", F.coalesce("class_file", "belongs_to").alias("file_id"), F.array_position(F.array(*map(F.lit, kinds)), F.col("node_type")).alias("rank"), F.posexplode("imports_used").alias("n", "used"))
     aliases = import_aliases(built, strict)
     whole = aliases.select("file_id", F.col("key").alias("used"), F.col("base").alias("whole_base"))
     first = aliases.select("file_id", F.col("key").alias("first"), F.col("base").alias("first_base"))
     named = code.withColumn("first", F.element_at(F.split("used", r"\.", 2), 1)).join(whole, ["file_id", "used"], "left").join(first, ["file_id", "first"], "left")
     named = named.withColumn("base", F.coalesce("whole_base", "first_base")).where("base <> ''")
-    found = named.join(modules(built).withColumnRenamed("module", "base"), "base")
+    found = named.join(modules(built).withColumnRenamed("module", "base"), ["project", "base"])
     found = found.join(imported.select(F.col("source_id").alias("file_id"), "target_id").distinct(), ["file_id", "target_id"], "left_semi")
     once = found.groupBy(F.col("id").alias("source_id"), "target_id").agg(F.min(F.struct("rank", "seq", "n")).alias("at"))
     seq = edge_seq(USES, F.col("at.seq"), F.col("at.rank") * 100_000 + F.col("at.n"), F.col("at.seq"))
@@ -153,12 +157,17 @@ def used_import_edges(built: Built, imported: DataFrame, strict: bool = False) -
 def render_edges(built: Built, imported: DataFrame) -> DataFrame:
     """From a component to one of each tag's name: the first in an imported file or its own, else the first of all."""
     components = built.graph.nodes.where("node_type = 'REACT_COMPONENT'")
-    tags = components.select(F.col("id").alias("source_id"), F.col("seq").alias("source_seq"), F.col("belongs_to").alias("file_id"), F.posexplode("renders_components").alias("n", "tag"))
-    named = components.select(F.col("name").alias("tag"), F.col("id").alias("target_id"), F.col("belongs_to").alias("target_file"), F.col("seq").alias("target_seq"))
-    near = imported.select(F.col("source_id").alias("file_id"), F.col("target_id").alias("target_file"), F.lit(1).alias("near")).distinct()
-    pairs = tags.join(named, "tag").join(near, ["file_id", "target_file"], "left")
-    pairs = pairs.withColumn("far", F.col("near").isNull() & (F.col("target_file") != F.col("file_id")))
-    best = first_match(pairs, ["source_id", "tag"], [F.col("far"), F.col("target_seq")]).where("source_id <> target_id")
+    tags = components.select("project", F.col("id").alias("source_id"), F.col("seq").alias("source_seq"), F.col("belongs_to").alias("file_id"), F.posexplode("renders_components").alias("n", "tag"))
+    named = components.select("project", F.col("name").alias("tag"), F.col("id").alias("target_id"), F.col("belongs_to").alias("target_file"), F.col("seq").alias("target_seq"))
+    # the first of all of a name, and the first of a name in a file, are found before the join, so no name is a hot key
+    of_all = first_match(named.drop("target_file"), ["project", "tag"], [F.col("target_seq")]).select("project", "tag", F.col("target_id").alias("any_id"))
+    of_file = first_match(named.drop("project"), ["target_file", "tag"], [F.col("target_seq")])
+    own = components.select(F.col("belongs_to").alias("file_id"), F.col("belongs_to").alias("target_file"))
+    near = imported.select(F.col("source_id").alias("file_id"), F.col("target_id").alias("target_file")).union(own).distinct()
+    wanted = tags.select("file_id", "tag").distinct().join(near, "file_id").join(of_file, ["target_file", "tag"])
+    nearest = first_match(wanted.select("file_id", "tag", "target_id", "target_seq"), ["file_id", "tag"], [F.col("target_seq")]).select("file_id", "tag", F.col("target_id").alias("near_id"))
+    found = tags.join(of_all, ["project", "tag"]).join(nearest, ["file_id", "tag"], "left").withColumn("target_id", F.coalesce("near_id", "any_id"))
+    best = found.groupBy("source_id", "tag").agg(F.min_by(F.struct("target_id", "source_seq", "n"), F.col("n")).alias("b")).select("source_id", "b.*").where("source_id <> target_id")
     seq = edge_seq(RENDERS, F.col("source_seq"), F.col("n"), F.col("source_seq"))
     return best.select("source_id", "target_id", F.lit("RENDERS").alias("type"), F.lit(None).cast("string").alias("label"), seq.alias("seq"))
 

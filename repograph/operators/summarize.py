@@ -12,6 +12,7 @@ from repograph.functions import scalars as S
 from repograph.functions.prompts import prompt
 from repograph.operators import contexts
 from repograph.operators.graph import Graph
+from repograph.tables import keeper
 
 #: Takes (id, prompt) and gives (id, summary). A provider that calls a model belongs here, as a Pandas function.
 Summarizer = Callable[[DataFrame], DataFrame]
@@ -43,14 +44,14 @@ def fixed_summary(has_contents, has_imports):
     )
 
 
-def prompts(graph: Graph, imports: DataFrame) -> DataFrame:
-    """(id, prompt) of all nodes, from their contexts."""
+def prompts(graph: Graph, imports: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(id, prompt) from the contexts of the nodes ``of``, by default all."""
     kinds = {
-        "FUNCTION": contexts.function_context(graph), "CLASS": contexts.class_context(graph), "NON_FUNCTION_NON_CLASS": contexts.top_level_context(graph),
-        "IMPORT_BLOCK": contexts.import_block_context(graph, imports), "REACT_COMPONENT": contexts.component_context(graph), "REACT_HOOK": contexts.hook_context(graph),
-        "FILE": contexts.file_context(graph), "FOLDER": contexts.folder_context(graph),
+        "FUNCTION": contexts.function_context(graph, of), "CLASS": contexts.class_context(graph, of), "NON_FUNCTION_NON_CLASS": contexts.top_level_context(graph, of),
+        "IMPORT_BLOCK": contexts.import_block_context(graph, imports, of), "REACT_COMPONENT": contexts.component_context(graph, of), "REACT_HOOK": contexts.hook_context(graph, of),
+        "FILE": contexts.file_context(graph, of), "FOLDER": contexts.folder_context(graph, of),
     }
-    kinds |= {k: graph.nodes.where(F.col("node_type") == k) for k in K.CONFIG_KINDS}
+    kinds |= {k: (graph.nodes if of is None else of).where(F.col("node_type") == k) for k in K.CONFIG_KINDS}
     out = None
     for kind, rows in kinds.items():
         made = rows.select("id", prompt(kind).alias("prompt"))
@@ -61,23 +62,40 @@ def prompts(graph: Graph, imports: DataFrame) -> DataFrame:
 def summarise_level(graph: Graph, imports: DataFrame, depth: int, summarise: Summarizer) -> DataFrame:
     """(id, summary) of the nodes of a level; those below have theirs in ``graph``."""
     here = graph.nodes.where(F.col("depth") == depth)
-    edges = graph.collapsed
-    contains = edges.where("type = 'CONTAINS'").select(F.col("source_id").alias("id"), F.lit(True).alias("has_contents")).distinct()
-    makes = edges.where("type = 'IMPORTS'").select(F.col("source_id").alias("id"), F.lit(True).alias("has_imports")).distinct()
-    rows = here.join(contains, "id", "left").join(makes, "id", "left").fillna(False, ["has_contents", "has_imports"])
-    fixed = rows.select("id", fixed_summary(F.col("has_contents"), F.col("has_imports")).alias("fixed"))
-    asked = prompts(graph, imports).join(fixed.where("fixed IS NULL").select("id"), "id", "left_semi")
-    made = summarise(asked).select("id", S.clean_summary(F.col("summary")).alias("made"))
-    return fixed.join(made, "id", "left").select("id", F.coalesce("fixed", "made", F.lit(K.FAILED_SUMMARY)).alias("summary"))
-
-
-def summarise(graph: Graph, imports: DataFrame, depth: int, summarise_with: Summarizer = extractive, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Graph:
-    """The graph with summaries. ``keep`` stores a level's table and reads it again, which cuts the lineage of deep trees."""
-    for level in range(depth, -1, -1):
-        made = keep(summarise_level(graph, imports, level, summarise_with), f"summaries-{level}").withColumnRenamed("summary", "__made")
-        nodes = graph.nodes.join(made, "id", "left").withColumn("summary", F.coalesce("__made", "summary")).drop("__made")
-        graph = Graph(nodes, graph.edges)
-    return graph
+    ids = here.select(F.col("id").alias("source_id"))
+    edges = graph.collapsed.where("type IN ('CONTAINS', 'IMPORTS')").join(ids, "source_id", "left_semi").groupBy(F.col("source_id").alias("id"))
+    made = edges.agg(F.max(F.col("type") == "CONTAINS").alias("has_contents"), F.max(F.col("type") == "IMPORTS").alias("has_imports"))
+    rows = here.join(made, "id", "left").fillna(False, ["has_contents", "has_imports"])
+    rows = rows.withColumn("fixed", fixed_summary(F.col("has_contents"), F.col("has_imports")))
+    asked = rows.where("fixed IS NULL").drop("fixed", "has_contents", "has_imports")
+    told = summarise(prompts(graph, imports, asked)).select("id", S.clean_summary(F.col("summary")).alias("made"))
+    return rows.select("id", "fixed").join(told, "id", "left").select("id", F.coalesce("fixed", "made", F.lit(K.FAILED_SUMMARY)).alias("summary"))
+
+
+def summarise(
+    graph: Graph, imports: DataFrame, depth: int | None = None, summarise_with: Summarizer = extractive, keep: Callable[[DataFrame, str], DataFrame] | None = None
+) -> Graph:
+    """The graph with summaries, from the deepest level (by default that of the nodes) up.
+
+    ``keep`` stores a table and reads it again, by default below the shared folder: the nodes, the collapsed edges and each
+    level's summaries, so what a level runs doesn't grow with the levels done.
+    """
+    keep = keep or keeper(graph.nodes.sparkSession, "summaries")
+    if depth is None:
+        depth = graph.nodes.agg(F.max("depth")).first()[0]
+    nodes, view = keep(graph.nodes, "nodes"), keep(graph.collapsed, "collapsed")
+    done = None
+    for level in range(-1 if depth is None else depth, -1, -1):
+        now = Graph(_with_summaries(nodes, done), graph.edges, view)
+        made = keep(summarise_level(now, imports, level, summarise_with), f"summaries-{level}")
+        done = made if done is None else done.unionByName(made)
+    return Graph(_with_summaries(nodes, done), graph.edges, view)
+
+
+def _with_summaries(nodes: DataFrame, done: DataFrame | None) -> DataFrame:
+    if done is None:
+        return nodes
+    return nodes.join(done.withColumnRenamed("summary", "__made"), "id", "left").withColumn("summary", F.coalesce("__made", "summary")).drop("__made")
 
 
 def overview(graph: Graph) -> DataFrame:

@@ -160,11 +160,11 @@ def gr_path_tree(t):
 
 @query(
     WITH_NODES.replace("WITH ", "WITH RECURSIVE ") + ", w AS (SELECT id, belongs_to, depth, '' || name AS k FROM nodes WHERE belongs_to IS NULL UNION ALL "
-    "SELECT n.id, n.belongs_to, n.depth, w.k || '/' || n.name FROM nodes n JOIN w ON n.belongs_to = w.id WHERE n.depth < 3) SELECT id, depth::BIGINT AS depth, k AS sort_key FROM w"
+    "SELECT n.id, n.belongs_to, n.depth, w.k || '/' || n.name FROM nodes n JOIN w ON n.belongs_to = w.id) SELECT id, depth::BIGINT AS depth, k AS sort_key FROM w"
 )
 def gr_recursive_tree(t):
-    """Regions, nations, customers and suppliers with the names from the root on."""
-    rows = hierarchy.descend(trade.nodes(t).where("depth < 3"), lambda _: F.col("name"), 2)
+    """All nodes with the names from the root on."""
+    rows = hierarchy.descend(trade.nodes(t), lambda _: F.col("name"), 3)
     return rows.select("id", *_long("depth"), F.array_join("sort_key", "/").alias("sort_key"))
 
 
@@ -217,10 +217,18 @@ def ag_context_folder(t):
     return told.select(F.col("id").alias("folder"), F.array_join(F.transform("component_summaries", lambda x: F.concat(x["key"], F.lit(" "), x["value"])), "; ").alias("summaries"))
 
 
-@query(None)
+_QUOTED = lambda name, value: f"'\"{name}\":\"' || {value} || '\"'"
+
+
+@query(
+    WITH_COLLAPSED + f"SELECT 'node' AS kind, '{{' || {_QUOTED('id', 'id')} || ',' || {_QUOTED('node_type', 'node_type')} || ',' || {_QUOTED('name', 'name')} || ',\"depth\":' || depth || "
+    f"CASE WHEN belongs_to IS NULL THEN '' ELSE ',' || {_QUOTED('belongs_to', 'belongs_to')} END || ',\"seq\":' || seq || '}}' AS json FROM nodes "
+    f"UNION ALL SELECT 'link', '{{' || {_QUOTED('source', 'source_id')} || ',' || {_QUOTED('target', 'target_id')} || ',' || {_QUOTED('type', 'type')} || "
+    f"CASE WHEN label IS NULL THEN '' ELSE ',' || {_QUOTED('label', 'label')} END || '}}' FROM collapsed"
+)
 def sk_nodes_json(t):
-    g = trade.graph(t)
-    return node_link_json(Graph(g.nodes.where("depth < 3"), g.edges.where("type <> 'CALLS'")))
+    """The whole graph, a line for each node and collapsed edge."""
+    return node_link_json(trade.graph(t))
 
 
 @query(

@@ -148,12 +148,15 @@ def jn_priority_pick(t):
 
 
 @query(
-    "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, o_custkey, count(*)::BIGINT AS n FROM lineitem JOIN (SELECT o_orderkey, o_custkey, 1 AS line FROM orders) ON o_orderkey = l_orderkey AND line = l_linenumber GROUP BY ALL"
+    "SELECT a.l_orderkey, a.l_linenumber::BIGINT AS l_linenumber, a.n, b.n AS returned FROM (SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL) a "
+    "JOIN (SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) b USING (l_orderkey, l_linenumber)"
 )
 def jn_composite_key(t):
-    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), "o_custkey")
-    rows = t.lineitem.select("l_orderkey", "l_linenumber").join(o, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber", "o_custkey").agg(F.count("*").alias("n"))
-    return rows.select("l_orderkey", *_long("l_linenumber"), "o_custkey", "n")
+    """All lines with those returned, by the two parts of their key."""
+    key = ["l_orderkey", "l_linenumber"]
+    every = t.lineitem.groupBy(*key).agg(F.count("*").alias("n"))
+    returned = t.lineitem.where("l_returnflag = 'R'").groupBy(*key).agg(F.count("*").alias("returned"))
+    return every.join(returned, key).select("l_orderkey", *_long("l_linenumber"), "n", "returned")
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -296,12 +299,13 @@ def st_except(t):
 
 
 @query(
-    "SELECT user_id AS task_id, (list(event_type ORDER BY ts DESC, event_id DESC))[1] AS status, count(*)::BIGINT AS changes FROM events WHERE user_id % 7 <> 3 GROUP BY user_id"
+    "SELECT user_id AS task_id, (list(event_type ORDER BY ts DESC, event_id DESC))[1] AS status, count(*)::BIGINT AS changes FROM events "
+    "WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY user_id"
 )
 def sm_latest_state(t):
-    """Changes of tasks that were never made (every seventh) are ignored."""
+    """A task is made by a signup; changes of tasks that were never made are ignored."""
     changes = t.events.select(F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("at"))
-    made = t.events.select(F.col("user_id").alias("task_id")).distinct().where("task_id % 7 <> 3")
+    made = t.events.where("event_type = 'signup'").select(F.col("user_id").alias("task_id")).distinct()
     return tasks.latest_state(changes, made).select("task_id", "status", "changes")
 
 

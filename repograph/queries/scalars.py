@@ -93,9 +93,14 @@ def sc_json_preview(t):
     return t.events.select("event_id", json_preview(F.to_json(F.struct("event_id", "event_type", "props")), F.lit(60)).alias("preview"))
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_full_match(left(text, 3), '\\s*') THEN '{K.EMPTY_FILE}' ELSE left(text, 3) END AS content FROM documents")
+@query(
+    f"SELECT conv_id, turn, CASE WHEN regexp_full_match(body, '\\s*') THEN '{K.EMPTY_FILE}' ELSE body END AS content FROM "
+    "(SELECT conv_id, turn, CASE WHEN role = 'user' THEN '  ' ELSE text END AS body FROM conversations WHERE length(text) <= 6000)"
+)
 def sc_empty_sentinel(t):
-    return t.documents.select("doc_id", S.raw_content(F.left("text", F.lit(3))).alias("content"))
+    """Contents of white space only, here in place of what users say; longer ones are cut, see ``sc_truncate``."""
+    rows = t.conversations.where(F.length("text") <= 6000).withColumn("body", F.when(F.col("role") == "user", "  ").otherwise(F.col("text")))
+    return rows.select("conv_id", "turn", S.raw_content(F.col("body")).alias("content"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = '' THEN '' ELSE repeat('#', least(6, greatest(1, turn))::INTEGER) || ' ' || role || chr(10) || chr(10) END AS heading FROM conversations")
@@ -232,11 +237,12 @@ def sc_short_circuit(t):
 
 
 @query(
-    f"SELECT conv_id, '{ASKED['TEXT_FILE']}' || chr(10) || 'File: ' || conv_id || '.txt' || chr(10) || 'Content:' || chr(10) || {_TICKS} || chr(10) || {_strip('text')} || chr(10) || {_TICKS} AS prompt FROM conversations WHERE turn = 0 AND text <> ''"
+    f"SELECT conv_id, turn, '{ASKED['TEXT_FILE']}' || chr(10) || 'File: ' || conv_id || '.txt' || chr(10) || 'Content:' || chr(10) || {_TICKS} || chr(10) || {_strip('text')} || chr(10) || {_TICKS} AS prompt FROM conversations WHERE text <> ''"
 )
 def sc_prompt_render(t):
-    rows = t.conversations.where("turn = 0 AND text <> ''").select("conv_id", F.concat("conv_id", F.lit(".txt")).alias("file_path"), F.col("text").alias("raw_content"))
-    return rows.select("conv_id", prompt("TEXT_FILE").alias("prompt"))
+    """Each turn as a file; an empty one has a fixed summary instead of a prompt."""
+    rows = t.conversations.where("text <> ''").select("conv_id", "turn", F.concat("conv_id", F.lit(".txt")).alias("file_path"), F.col("text").alias("raw_content"))
+    return rows.select("conv_id", "turn", prompt("TEXT_FILE").alias("prompt"))
 
 
 _NO_SUMMARY = "'**Summary:** (Not available)' || chr(10) || chr(10)"

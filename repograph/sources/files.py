@@ -104,28 +104,32 @@ def upload_faults(archives: DataFrame, most: int) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(path, kind, module_path, language, raw_content, nodes, calls, parse_error) of accepted files.
+    """(project, path, kind, module_path, language, raw_content, nodes, calls, parse_error) of accepted files.
 
-    Source is parsed in one narrow Python stage; text and configuration files keep their content, cut in the engine.
+    ``project`` is the archive or folder that a file came from, empty where ``files`` doesn't tell; equal paths of different
+    projects are different files. Source is parsed in one narrow Python stage; text and configuration files keep their
+    content, cut in the engine.
     """
     ship(files.sparkSession)
     kind = S.file_kind(F.col("path"))
-    rows = files.select("path", "content", kind.alias("kind")).where("kind IS NOT NULL")
+    project = F.coalesce(F.col("archive") if "archive" in files.columns else F.lit(None).cast("string"), F.lit(""))
+    rows = files.select(project.alias("project"), "path", "content", kind.alias("kind")).where("kind IS NOT NULL")
 
     def run(batches):
         for batch in batches:
             out = []
-            for path, content, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "kind"))):
+            for project, path, content, kind in zip(*(batch.column(c).to_pylist() for c in ("project", "path", "content", "kind"))):
                 made = python_source.parse(content) if kind == "PYTHON" else script_source.parse(content, path)
-                out.append({"path": path, "kind": kind} | made)
+                out.append({"project": project, "path": path, "kind": kind} | made)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    ddl = f"path string, kind string, {facts.FACTS}"
+    ddl = f"project string, path string, kind string, {facts.FACTS}"
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
     source = rows.where(F.col("kind").isin("PYTHON", "SCRIPT")).mapInArrow(run, ddl)
     path = F.col("path")
     source = source.select(
+        "project",
         "path",
         "kind",
         F.when(F.col("kind") == "PYTHON", S.python_module(path)).otherwise(S.script_module(path)).alias("module_path"),
@@ -140,6 +144,7 @@ def parsed(files: DataFrame) -> DataFrame:
     for name, limit in K.CONTENT_LIMITS.items():
         content = content.when(F.col("kind") == name, S.raw_content(text, limit))
     config = rows.where(F.col("kind").isin(*K.CONFIG_KINDS)).select(
+        "project",
         "path",
         "kind",
         F.lit(None).cast("string").alias("module_path"),

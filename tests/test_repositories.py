@@ -3,9 +3,10 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from repograph import constants as K
-from repograph.operators import assemble, build, contexts, resolve, summarize
+from repograph.operators import assemble, build, contexts, hierarchy, resolve, summarize
 from repograph.operators.graph import Graph
 from repograph.sources import files as sources
 
@@ -224,3 +225,59 @@ def test_summaries(spark, load, repo, tmp_path):
     assert [(r.ok, r.failed) for r in summarize.level_counts(done).where("depth IS NULL").collect()] == [(5, 0)]
     with pytest.raises(ValueError):
         summarize.summarizer("none")
+
+
+def test_projects_stay_apart(spark, tmp_path):
+    """Two archives with equal paths: two graphs, and no edge between them."""
+    for name in ("one", "two"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / "in" / f"{name}.zip", "w") as z:
+            z.writestr("src/main.py", "from src.lib import f\nclass D(Base): pass\ndef g(): f()\n")
+            z.writestr("src/lib.py", f"class Base: pass\ndef f(): pass\ndef {name}(): pass\n")
+            z.writestr("src/App.jsx", "import Button from '@/src/Button'\nexport default function App(){return <Button/>}\n")
+            z.writestr("src/Button.jsx", "export default function Button(){return <button/>}\n")
+    members = sources.classified(sources.zip_members(spark, str(tmp_path / "in")))
+    built = build.build(sources.parsed(members.where("accepted")).coalesce(1)).stored(str(tmp_path / "out"))
+    nodes = {r.id: r for r in built.graph.nodes.collect()}
+    assert len(nodes) == built.graph.nodes.count()
+    by_project = {}
+    for r in nodes.values():
+        by_project.setdefault(r.project, []).append((r.node_type, r.name, r.file_path))
+    one, two = (by_project[p] for p in sorted(by_project))
+    assert {x for x in one if x[1] not in ("one", "one.zip")} == {x for x in two if x[1] not in ("two", "two.zip")}
+    assert ("FOLDER", "one.zip", ".") in one and ("FOLDER", "two.zip", ".") in two
+    edges = resolve.resolved(built).edges.select("source_id", "target_id", "type").collect()
+    assert all(nodes[e.source_id].project == nodes[e.target_id].project for e in edges)
+    kinds = sorted(e.type for e in edges if nodes[e.source_id].project == sorted(by_project)[0] and e.type in ("IMPORTS", "CALLS", "INHERITS_FROM", "USES_IMPORT", "RENDERS"))
+    assert kinds == ["CALLS", "IMPORTS", "IMPORTS", "INHERITS_FROM", "RENDERS", "USES_IMPORT"]
+
+
+def test_endings_and_tags_take_the_first(spark, tmp_path):
+    """Many files of one name, and many components: an ending takes the first in the walk's order, a tag the nearest."""
+    files = {f"d{i}/index.js": "export const a = 1\n" for i in range(8)} | {f"d{i}/sub/index.js": "export const a = 1\n" for i in range(8)}
+    files |= {f"d{i}/Card.jsx": "export default function Card(){return <p/>}\n" for i in range(8)}
+    files |= {"a.js": "import x from '@/sub/index'\nimport y from '@/d5/index'\nimport z from '@/b/index'\n"}
+    files |= {"App.jsx": "import Card from './d3/Card'\nexport default function App(){return <Card/>}\n", "Z.jsx": "export default function Z(){return <Card/>}\n"}
+    for path, text in files.items():
+        (tmp_path / "in" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / path).write_text(text)
+    members = sources.classified(sources.folder_files(spark, str(tmp_path / "in")))
+    built = build.build(sources.parsed(members.where("accepted")).coalesce(1)).stored(str(tmp_path / "out"))
+    nodes = {r.id: r for r in built.graph.nodes.collect()}
+    edges = resolve.resolved(built).edges.orderBy("seq").collect()
+    path = lambda i: nodes[i].file_path
+    # nothing ends with b/index but sub/index, whose first is d0's
+    assert [(path(e.target_id), e.label) for e in edges if e.type == "IMPORTS" and path(e.source_id) == "a.js"] == [("d0/sub/index.js", "*"), ("d5/index.js", "*"), ("d0/sub/index.js", "*")]
+    assert sorted((path(e.source_id), path(e.target_id)) for e in edges if e.type == "RENDERS") == [("App.jsx", "d3/Card.jsx"), ("Z.jsx", "d0/Card.jsx")]
+
+
+def test_deep_trees(spark):
+    """A chain of 40 levels and a cycle: plans stay small, and nothing is lost but what hangs on no root."""
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, i) for i in range(41)] + [("c1", "c2", 1), ("c2", "c1", 1), ("lost", "nowhere", 2)]
+    nodes = spark.createDataFrame(rows, "id string, belongs_to string, depth int")
+    walked = {r.id: (r.level, r.sort_key) for r in hierarchy.descend(nodes, lambda _: F.col("id")).collect()}
+    assert walked == {f"n{i}": (i, [f"n{k}" for k in range(i + 1)]) for i in range(41)}
+    counts = hierarchy.bottom_up(nodes, F.lit(1).cast("long"), F.sum)
+    assert len(counts._jdf.queryExecution().logical().toString()) < 200_000
+    got = {r.id: r.value for r in counts.collect()}
+    assert {i: got[f"n{i}"] for i in range(41)} == {i: 41 - i for i in range(41)} and got["lost"] == 1 and got["c1"] == 2

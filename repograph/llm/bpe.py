@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from repograph.llm.textmap import map_texts, prepare, tidy
+from repograph.llm.textmap import free_names, map_texts, prepare, tidy
 
 #: A worker remembers the ids of so many words.
 MEMO = 250_000
@@ -298,12 +298,13 @@ def decode(encoded: DataFrame, path: str, *, keep: list[str], ids: str = "ids")
     """The ``keep`` columns and the decoded text of an array of ids; null as the empty text."""
     prepare(encoded.sparkSession)
     content = vocabulary(encoded.sparkSession, path)
-    schema = T.StructType([*(encoded.schema[c] for c in keep), ENCODED["decoded"]])
+    names = free_names(keep, ["decoded"])
+    schema = T.StructType([*(T.StructField(n, encoded.schema[c].dataType) for n, c in zip(names, keep)), ENCODED["decoded"]])
 
     def run(batches):
         for batch in batches:
             texts = [_tokenizer(content).decode(x or []) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return encoded.select(*dict.fromkeys([*keep, ids])).mapInArrow(tidy(run), schema)
 

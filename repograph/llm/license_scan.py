@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repograph.llm.textmap import free_names
+
 RARE = 4
 #: So many indexed words of a document are looked up, by falling IDF; None: all, as the index is as large as the templates.
 LOOKED_UP = None
@@ -49,6 +51,7 @@ class Notice:
         return out
 
 
+#: Notices and sentences of the licences themselves, as words.
 NOTICES = (
     Notice("mit", "released under the mit license", ("mit license",)),
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted free of charge",)),
@@ -59,6 +62,15 @@ NOTICES = (
     Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms", "with or without modification")),
     Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee", "hereby granted")),
     Notice("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software", "public domain")),
+    # sentences of the full texts, each of which tells the licence
+    Notice("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included", "substantial portions of the software")),
+    Notice("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("except in compliance with the license", "www apache org licenses")),
+    Notice("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("redistribute it and or modify it", "gnu general public license")),
+    Notice("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("redistribute it and or modify it", "gnu lesser general public license")),
+    Notice("mpl", "this source code form is subject to the terms of the mozilla public license", ("source code form", "mozilla public license")),
+    Notice("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code", "this list of conditions")),
+    Notice("isc", "provided that the above copyright notice and this permission notice appear in all copies", ("this permission notice appear in all copies",)),
+    Notice("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty", "held liable")),
     Notice("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
     Notice("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Notice("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
@@ -125,7 +137,8 @@ def scan(
     looked_up: int | None = LOOKED_UP,
     agree: int = AGREE,
 ) -> DataFrame:
-    """The ``keep`` columns, n_words, places (start, label) of base phrases, matches (label, start, share), score."""
+    """The ``keep`` columns (one named like a result as ``input_`` and the name), n_words, places (start, label) of base phrases,
+    matches (label, start, share), score."""
     base = BASE if base is None else base
     kept = [F.col(f"`{c}`") for c in keep]
     names = [f"__keep{i}" for i in range(len(keep))]  # so that no column of the rows clashes with those made here
@@ -202,7 +215,7 @@ def scan(
     matches = F.when(some, F.transform(F.filter("candidates", stands), match)).otherwise(none)
     rows = rows.select(*names, "n_words", "places", matches.alias("matches"))
     return rows.select(
-        *(F.col(n).alias(c) for n, c in zip(names, keep)),
+        *(F.col(n).alias(c) for n, c in zip(names, free_names(keep, ["n_words", "places", "matches", "score"]))),
         "n_words",
         "places",
         "matches",

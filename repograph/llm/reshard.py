@@ -7,7 +7,7 @@ bytes that blocks allow. Blocks are then cut by it, and each piece is a stretch
 
 The network has (old shards x size classes) blocks whatever the data, so the driver solves it. Rows are numbered
 without a window over a shard: each block is dealt into units by a hash of the text (and, in units that a group of copies
-makes large, of the id), rows are numbered within units, and what units hold is added up. There are at most about UNITS
+makes large, of the id or, without one, of a row number), rows are numbered within units by falling size, so the largest stay, and what units hold is added up. There are at most about UNITS
 units for each old shard's class. Equal texts lie in one old shard, one block and one unit, next to each other, and are
 parted only where a shard is full or their unit is a large one.
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repograph.llm.storage import Workspace
+from repograph.llm.textmap import free_names
 
 SHARDS = 40
 OLD_SHARDS = 64
@@ -185,9 +186,10 @@ def pieces(units: dict[tuple[int, int, int, int], int], plan: dict[tuple[int, in
 
 
 def reshard(
-    documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", old: Column | None = None, old_shards: int = OLD_SHARDS, shards: int = SHARDS
+    documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", old: Column | None = None, old_shards: int = OLD_SHARDS, shards: int = SHARDS, carry: bool = False
 ) -> DataFrame:
-    """(id, size, text_crc32, old_shard, shard, slot) of every row; ``old`` is the present shard, from 0 to old_shards - 1."""
+    """(id, size, text_crc32, old_shard, shard, slot) of every row; ``old`` is the present shard, from 0 to old_shards - 1.
+    With ``carry`` also ``row``, a struct of all columns, for ``rewrite_affected``."""
     spark = documents.sparkSession
     work = Workspace(spark, "reshard")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -200,6 +202,9 @@ def reshard(
         group.alias("group"),
         (F.pmod(group, F.lit(old_shards)) if old is None else old).cast("int").alias("old"),
         F.floor(F.log2(size)).cast("int").alias("class"),
+        # fixed once the table is stored; tells rows without an id apart
+        F.monotonically_increasing_id().alias("number"),
+        *([F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if carry else []),
     )
     rows = work.keep(rows, "rows")
     total = rows.count()
@@ -211,7 +216,8 @@ def reshard(
     large = [(r["old"], r["class"], r["part"], -(-r["n"] // target)) for r in held if r["n"] > 2 * target]
     salts = spark.createDataFrame(large, "old int, class int, part int, salts int")
     rows = rows.join(F.broadcast(salts), ["old", "class", "part"], "left")  # at most total / (2 * target) rows, so UNITS
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "group"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    spread = F.when(F.col("id").isNull(), F.col("number")).otherwise(F.xxhash64("id"))
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread, "group"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     rows = work.keep(rows, "units")
     units = {(r["old"], r["class"], r["part"], 0): r["n"] for r in held if r["n"] <= 2 * target}
     for r in rows.join(F.broadcast(salts), ["old", "class", "part"], "left_semi").groupBy("old", "class", "part", "salt").count().collect():
@@ -226,24 +232,31 @@ def reshard(
     plan = transfers({k: tuple(v) for k, v in blocks.items()}, even_capacities(total, old_rows, shards))
     cut = spark.createDataFrame(pieces(units, plan), "old int, class int, part int, salt int, shard int, first long, past long, base long")
     unit = ["old", "class", "part", "salt"]
-    order = Window.partitionBy(*unit).orderBy("size", "group", "text_crc32", "id")
+    # the first ranks stay, so the largest rows do
+    order = Window.partitionBy(*unit).orderBy(F.desc("size"), "group", "text_crc32", "id", "number")
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
     found = ranked.join(cut, unit).where("rank >= first AND rank < past")
-    return found.select("id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot"))
+    made = ["id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot")]
+    return found.select(*made, *(["row"] if carry else []))
 
 
-def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str, *, id_col: str = "doc_id") -> list[int]:
+def rewrite_affected(placed: DataFrame, path: str) -> list[int]:
     """Writes the files of the new shards that differ from the old shard of their number, as ``path``/shard=N, by slot.
 
-    ``documents`` must have unique ids. Returns the shards that were written; those left out need no rewriting.
+    ``placed`` comes from ``reshard`` with ``carry``: each row brings its own columns, so null and repeated ids are rows like
+    others. A column of the rows named ``shard`` is written as ``input_shard``. Returns the shards that were written; those
+    left out need no rewriting.
     """
+    work = Workspace(placed.sparkSession, "rewrite")
+    placed = work.keep(placed, "placed")
     moved = placed.where("shard <> old_shard")
     changed = moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     rows = placed.join(F.broadcast(changed), "shard", "left_semi")  # as many rows as there are shards
-    full = rows.select(F.col("id").alias(id_col), "shard", "slot").join(documents, id_col)
-    target = F.col("shard"), F.floor(F.col("slot") / 100_000)
-    full.repartition(*target).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return sorted(r["shard"] for r in changed.join(placed.select("shard").distinct(), "shard").collect())
+    inside = placed.schema["row"].dataType.names
+    columns = [F.col("row").getField(c).alias(n) for c, n in zip(inside, free_names(inside, ["shard"]))]
+    near = F.col("shard"), F.floor(F.col("slot") / 100_000)
+    rows.repartition(*near).sortWithinPartitions("shard", "slot").select(*columns, "shard").write.partitionBy("shard").parquet(path)
+    return sorted(r["shard"] for r in rows.select("shard").distinct().collect())
 
 
 def op7_reshard_flow(spark, sf_dir: str) -> DataFrame:

@@ -72,10 +72,10 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def free_names(columns: list[str], results: list[str]) -> list[str]:
     """The columns' names next to results: one that a result has too, in any case of letters, gets ``input_`` in front."""
-    taken, out = {r.lower() for r in results}, []
+    taken, given, out = {r.lower() for r in results}, {c.lower() for c in columns}, []
     for name in columns:
         new = name
-        while new.lower() in taken or (new != name and new in columns):
+        while new.lower() in taken or (new != name and new.lower() in given):
             new = f"input_{new}"
         out.append(new)
     return out

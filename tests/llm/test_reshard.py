@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from repograph.llm import reshard as rs
 
@@ -68,9 +69,8 @@ def test_frames(spark, tmp_path):
     placed = rs.reshard(df, shards=7, old_shards=9)
     rows = placed.collect()
     check(rows, 7, want)
-    plain = df.where("doc_id < 5000")
-    placed = rs.reshard(plain, shards=7, old_shards=9)
-    written = rs.rewrite_affected(plain, placed, f"{tmp_path}/out")
+    placed = rs.reshard(df, shards=7, old_shards=9, carry=True).cache()
+    written = rs.rewrite_affected(placed, f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out")
     assert {r["shard"] for r in back.select("shard").distinct().collect()} == set(written)
     assert back.count() == placed.where(placed["shard"].isin(written)).count()
@@ -79,6 +79,27 @@ def test_frames(spark, tmp_path):
     check(rs.reshard(df.limit(3), shards=7).collect(), 7, want[:3])
 
 
+def test_rewriting_keeps_rows_with_null_and_repeated_ids(spark, tmp_path):
+    """Every row of an affected shard is written once, with its own columns, whatever its id."""
+    rows = [(None if i % 5 == 0 else i // 6, f"text {i % 50}", i, f"s{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other long, shard string")
+    placed = rs.reshard(df, shards=5, old_shards=8, carry=True).cache()
+    written = rs.rewrite_affected(placed, f"{tmp_path}/out")
+    want = [tuple(r["row"]) for r in placed.collect() if r["shard"] in written]
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.select("doc_id", "text", "other", "input_shard").collect()), key=str) == sorted(want, key=str)
+    assert len(want) == 600 and len({w[2] for w in want}) == 600
+
+
+def test_hot_rows_are_split(spark):
+    """Rows alike in null ids and text, in number over a unit's size, are numbered in several units."""
+    df = spark.range(6000).selectExpr("cast(null as long) doc_id", "'same' text")
+    placed = rs.reshard(df, shards=4, old=F.lit(1), old_shards=4)
+    check(placed.collect(), 4, [(None, "same")] * 6000)
+    assert placed.where("shard = 1").count() == 1500
+    assert placed.selectExpr("spark_partition_id() p").distinct().count() > 1
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     want = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

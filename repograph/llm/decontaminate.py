@@ -5,8 +5,9 @@ consecutive gram hashes the least is kept, in the documents and in the test item
 ``window`` consecutive words share a kept hash. Kept hashes are joined, and each hit is extended to the whole windows
 around it, whose words are then compared.
 
-The fingerprints of the items go to all tasks. That is bounded: items are dealt into blocks of at most about
-``block_bytes`` of text, and the documents pass one block after the other in the same stage, without a shuffle.
+Items of at most ``block_bytes`` of text in all (counted) go to all tasks as one index, and the documents pass it in one
+stage without a shuffle. More items are joined instead (``_by_joins``): kept hashes of documents and items by a semi-join,
+then the words of the windows around the hits with those of the items, so nothing is broadcast, whatever their number.
 
 Defined cases: a null text has no words; an item with fewer words than ``window`` is one window of all its words; an
 item without words matches nothing; a null item id is listed as ``null``; items with equal ids count once; repeated
@@ -15,15 +16,16 @@ document rows get equal rows; with no items, or an empty table, nothing is hit;
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from repograph.llm.hashing import U64, WORDS_ONLY, gram_hashes, word_bounds, word_hashes
-from repograph.llm.textmap import map_texts
+from repograph.llm.hashing import U64, WORDS_ONLY, gram_hashes, mix, word_bounds, word_hashes
+from repograph.llm.storage import Workspace
+from repograph.llm.textmap import as_bytes, free_names, map_texts, pieces, prepare, tidy
 
 WINDOW = 10
 GRAM = 5
@@ -112,14 +114,43 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(place, len(ordered) - 1)] == values
 
 
+class Piece:
+    """The words of some texts: hashes, places in the buffer, and where each text's words begin."""
+
+    def __init__(self, texts: list[bytes | None]):
+        clean = [(t or b"").translate(WORDS_ONLY) for t in texts]
+        self.buffer = b" ".join(clean)
+        a, self.starts, self.ends = word_bounds(self.buffer)
+        sizes = np.fromiter(map(len, clean), np.int64, len(clean)) + 1
+        self.bounds = np.append(np.searchsorted(self.starts, np.cumsum(sizes) - sizes), len(self.starts))
+        self.words = word_hashes(a, self.starts, self.ends)
+
+    def inside(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of those that end in the text in which they begin."""
+        text = np.searchsorted(self.bounds, at, "right") - 1
+        fits = at + length <= self.bounds[text + 1]
+        return text[fits], at[fits]
+
+    def text(self, start: int, length: int) -> bytes:
+        return b" ".join(self.buffer[s:e] for s, e in zip(self.starts[start : start + length].tolist(), self.ends[start : start + length].tolist()))
+
+    def kept_grams(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, hash)."""
+        grams = gram_hashes(self.words, gram)
+        text, at = self.inside(np.flatnonzero(kept(grams, window - gram + 1)), gram)
+        return text, at, grams[at]
+
+    def every(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, hash) of all grams of a short item's length, told apart from others by the length."""
+        grams = gram_hashes(self.words, length)
+        text, at = self.inside(np.arange(len(grams)), length)
+        return text, at, mix(grams[at] + U64(length))
+
+
 def find(texts: list[bytes | None], index: Index) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
     """Of each text: the number of words, the spans of hit words, the items."""
-    clean = [(t or b"").translate(WORDS_ONLY) for t in texts]
-    buffer = b" ".join(clean)
-    a, starts, ends = word_bounds(buffer)
-    sizes = np.fromiter(map(len, clean), np.int64, len(clean)) + 1
-    bounds = np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts))
-    words = word_hashes(a, starts, ends)
+    piece = Piece(texts)
+    bounds, words = piece.bounds, piece.words
     hits: list[tuple[int, int, set[str]]] = []
     known: dict[bytes, set[str]] = {}
     for length, (ordered, *_) in index.windows.items():
@@ -134,7 +165,7 @@ def find(texts: list[bytes | None], index: Index) -> tuple[list[int], list[list[
             first = np.flatnonzero(among(whole, ordered))
         text = np.searchsorted(bounds, first, "right") - 1
         for i in first[first + length <= bounds[text + 1]].tolist():
-            same = b" ".join(buffer[s:e] for s, e in zip(starts[i : i + length].tolist(), ends[i : i + length].tolist()))
+            same = piece.text(i, length)
             if same not in known:
                 known[same] = index.holders(length, whole[i], same)
             if known[same]:
@@ -145,18 +176,104 @@ def find(texts: list[bytes | None], index: Index) -> tuple[list[int], list[list[
     hits.sort(key=lambda x: x[:2])
     owners = np.searchsorted(bounds, [h[0] for h in hits], "right") - 1 if hits else []
     for (start, end, found), text in zip(hits, owners):
-        base, own = int(bounds[text]), spans[text]
-        if own and own[-1][1] >= start - base:
-            own[-1] = (own[-1][0], max(own[-1][1], end - base))
-        else:
-            own.append((start - base, end - base))
+        spans[text].append((start - int(bounds[text]), end - int(bounds[text])))
         items[text] |= found
+    spans = [_joined(x) for x in spans]
     return np.diff(bounds).tolist(), spans, items
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    rows = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.where("text IS NOT NULL")
+
+
+def _by_joins(documents: DataFrame, items: DataFrame, keep: list[str], text: str, window: int, gram: int, names: list[str]) -> DataFrame:
+    work = Workspace(documents.sparkSession, "decontaminate")
+    own = [f"k{i}" for i in range(len(keep))]
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, own)), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = work.keep(rows, "rows")  # from here on a row's number is fixed
+    items = work.keep(items, "items")
+
+    def item_windows(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                piece, ids = Piece(as_bytes(part.column("text"))), part.column("item").to_pylist()
+                out = []
+                for i, (s, e) in enumerate(zip(piece.bounds.tolist(), piece.bounds[1:].tolist())):
+                    length = min(window, e - s)
+                    out += [(ids[i], length, piece.text(k, length)) for k in range(s, e - length + 1)] if length else []
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.string(), pa.int32(), pa.binary()))], names=["item", "length", "words"])
+
+    windows = work.keep(items.mapInArrow(tidy(item_windows), "item string, length int, words binary").distinct(), "windows")
+    # fewer than ``window`` lengths
+    short = sorted(r["length"] for r in windows.where(F.col("length") < window).select("length").distinct().collect())
+
+    def keys(texts_of, ids_of, short):
+        def run(batches):
+            for batch in batches:
+                for part in pieces(batch, texts_of):
+                    piece, ids = Piece(as_bytes(part.column(texts_of))), part.column(ids_of)
+                    for length, (text, at, key) in [(window, piece.kept_grams(window, gram)), *((n, piece.every(n)) for n in short)]:
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(text)), pa.array(np.full(len(at), length, np.int32)), pa.array((at - piece.bounds[text]).astype(np.int32)), pa.array(key.view(np.int64))],
+                            names=["id", "length", "place", "key"],
+                        )
+
+        return tidy(run)
+
+    whole = F.col("words").cast("string")
+    of_items = windows.select(F.col("length").alias("id"), whole.alias("words")).distinct()
+    item_keys = of_items.mapInArrow(keys("words", "id", short), "id int, length int, place int, key long").where("id = length").select("length", "key").distinct()
+    prints = rows.select("row", "text").mapInArrow(keys("text", "row", short), "id long, length int, place int, key long")
+    hits = prints.join(item_keys, ["length", "key"], "left_semi").groupBy(F.col("id").alias("row")).agg(F.collect_set(F.struct("length", "place")).alias("hits"))
+
+    def around(batches):
+        """The windows around the hits, with their words."""
+        for batch in batches:
+            for row, text, hits in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "hits"))):
+                piece = Piece([text.encode()])
+                n, out = len(piece.starts), set()
+                for h in hits:
+                    first, last = (h["place"] - (window - gram), h["place"]) if h["length"] == window else (h["place"], h["place"])
+                    out |= {(k, h["length"]) for k in range(max(0, first), min(last, n - h["length"]) + 1)}
+                found = sorted(out)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.int32()), pa.array([k + m for k, m in found], pa.int32()),
+                        pa.array([piece.text(k, m) for k, m in found], pa.binary()),
+                    ],
+                    names=["row", "start", "end", "words"],
+                )
+
+    near = rows.select("row", "text").join(hits, "row").mapInArrow(tidy(around), "row long, start int, end int, words binary")
+    near = work.keep(near.join(windows.select("words").distinct(), "words", "left_semi"), "near")
+    spans = near.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    held = near.select("row", "words").distinct().join(windows.select("words", "item"), "words")
+    held = held.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+    def finish(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                counts = np.diff(Piece(as_bytes(part.column("text"))).bounds)
+                joined = [_joined([(x["start"], x["end"]) for x in spans or ()]) for spans in part.column("spans").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(n) for n in own), pa.array(counts), pa.array([sum(e - s for s, e in x) for x in joined], pa.int64()),
+                        pa.array([[{"start": s, "end": e} for s, e in x] for x in joined], to_arrow_type(RESULT["spans"].dataType)),
+                        pa.array([x or [] for x in part.column("items").to_pylist()], pa.list_(pa.string())),
+                    ],
+                    names=[*own, *RESULT.fieldNames()],
+                )
+
+    schema = T.StructType([*(T.StructField(n, documents.schema[c].dataType) for n, c in zip(own, keep)), *RESULT.fields])
+    done = rows.join(spans, "row", "left").join(held, "row", "left").select(*own, "text", "spans", "items").mapInArrow(tidy(finish), schema)
+    return done.toDF(*free_names(keep, names), *names)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
     out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
+    for start, end in spans:
         if out and out[-1][1] >= start:
             out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
@@ -164,18 +281,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The items in lists of about ``block_bytes`` of text, one list in the driver at a time."""
-    items = benchmark.select(
-        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text}`").cast("string").alias("text")
-    ).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for i in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        yield [(r["item"], r["text"].encode()) for r in block.toLocalIterator()]
-
-
 def decontaminate(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -192,59 +297,25 @@ def decontaminate(
     """The ``keep`` columns with those of RESULT (their names after ``prefix``), a row for each document."""
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
-    spark = documents.sparkSession
+    prepare(documents.sparkSession)
     names = [prefix + f.name for f in RESULT.fields]
-    out, carry = documents, f"{prefix}__hits"
-    blocks = list(_indexes(benchmark, item_id, item_text, block_bytes, window, gram, spark))
-    for i, held in enumerate(blocks):
-        last = i == len(blocks) - 1
-
-        def run(texts, held=held):
-            n, spans, items = find(texts, held.value)
-            return {
-                names[0]: n,
-                names[1]: [sum(e - s for s, e in x) for x in spans],
-                names[2]: [[{"start": s, "end": e} for s, e in x] for x in spans],
-                names[3]: [sorted(x) for x in items],
-            }
-
-        added = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, RESULT.fields)])
-        if len(blocks) == 1:
-            return map_texts(out, text, keep, added, run)
-        own = T.StructType([T.StructField(f"{carry}{i}_{f.name}", f.dataType, f.nullable) for f in RESULT.fields])
-        rename = dict(zip(names, own.fieldNames()))
-        before = [c for j in range(i) for c in (f"{carry}{j}_{f.name}" for f in RESULT.fields)]
-        wanted = keep if last else [*keep, *([] if text in keep else [text])]
-        out = map_texts(out, text, [*wanted, *before], own, lambda texts, run=run, rename=rename: {rename[k]: v for k, v in run(texts).items()})
-    return _merge(out, keep, names, carry, len(blocks))
-
-
-def _indexes(benchmark, item_id, item_text, block_bytes, window, gram, spark):
-    for items in _blocks(benchmark, item_id, item_text, block_bytes):
-        yield spark.sparkContext.broadcast(Index(items, window, gram))
-
-
-def _merge(df: DataFrame, keep: list[str], names: list[str], carry: str, n: int) -> DataFrame:
-    """The hits of all blocks of items as one."""
-    spans = F.array_sort(F.flatten(F.array(*(f"{carry}{i}_spans" for i in range(n)))))
-
-    def join(done, x):
-        last = F.element_at(done, -1)
-        grown = F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
-        )
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"]), grown).otherwise(
-            F.concat(done, F.array(x))
-        )
-
-    first = F.slice(spans, 1, 1)
-    whole = F.when(F.size(spans) > 0, F.aggregate(F.slice(spans, 2, F.greatest(F.size(spans), F.lit(1))), first, join)).otherwise(spans)
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(f"{carry}{i}_items" for i in range(n))))))
-    cols = [F.col(f"`{c}`") for c in keep]
-    out = df.select(*cols, F.col(f"{carry}0_n_words").alias(names[0]), whole.alias(names[2]), items.alias(names[3]))
-    hit = F.aggregate(names[2], F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.select(*cols, names[0], hit.alias(names[1]), names[2], names[3])
+    items = _items(benchmark, item_id, item_text)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        return _by_joins(documents, items, keep, text, window, gram, names)
+    index = Index([(r["item"], r["text"].encode()) for r in items.toLocalIterator()], window, gram)
+    held = documents.sparkSession.sparkContext.broadcast(index)
+
+    def run(texts):
+        n, spans, found = find(texts, held.value)
+        return {
+            names[0]: n,
+            names[1]: [sum(e - s for s, e in x) for x in spans],
+            names[2]: [[{"start": s, "end": e} for s, e in x] for x in spans],
+            names[3]: [sorted(x) for x in found],
+        }
+
+    added = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, RESULT.fields)])
+    return map_texts(documents, text, keep, added, run)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ BLOCK = 1024
 MAX_BLOCKS = 8192
 #: Visitors travel in packets of at most so many.
 PACKET = 4096
+#: So many tasks share a block's visitors.
+PARTS = 4
 _TOP = U64(1 << 63)
 
 
@@ -153,15 +155,25 @@ def _visitors(blocks: DataFrame, nodes, limit: int) -> DataFrame:
     return blocks.select("block", "codes").mapInArrow(tidy(run), "block long, visitors binary")
 
 
-def _search(units: DataFrame, limit: int) -> DataFrame:
+def _search(blocks: DataFrame, visitors: DataFrame, limit: int) -> DataFrame:
+    """Links between the blocks' codes and their visitors. Each block goes to PARTS tasks and its packets to one of them;
+    there the block's row comes first, its index is built once, and the packets stream past it."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    homes = blocks.select("block", parts, F.lit(0).alias("kind"), "codes")
+    packets = visitors.select("block", F.pmod(F.xxhash64("visitors"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("visitors").alias("codes"))
+
     def run(batches):
-        last, index = None, None
+        home, index = None, None
         for batch in batches:
-            for codes, visitors in zip(batch.column("codes").to_pylist(), batch.column("visitors").to_pylist()):
-                if codes != last:
-                    last, index = codes, GrayIndex(np.frombuffer(codes, U64))
+            for block, part, kind, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "kind", "codes"))):
+                if not kind:
+                    home, index = (block, part), codes
+                    continue
+                assert home == (block, part)
+                if isinstance(index, bytes):  # only once somebody comes
+                    index = GrayIndex(np.frombuffer(index, U64))
                 found_a, found_b = [], []
-                queries = np.frombuffer(visitors, U64)
+                queries = np.frombuffer(codes, U64)
                 for s in range(0, len(queries), 512):
                     some = queries[s : s + 512]
                     q, c = index.search(some, limit)
@@ -171,7 +183,8 @@ def _search(units: DataFrame, limit: int) -> DataFrame:
                 a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return units.mapInArrow(tidy(run), "a long, b long")
+    rows = homes.unionByName(packets).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def link_forest(prints: DataFrame, limit: int, work: Workspace) -> DataFrame:
@@ -184,8 +197,7 @@ def link_forest(prints: DataFrame, limit: int, work: Workspace) -> DataFrame:
     rows = blocks.select("block", "mask", "pattern").collect()
     column = lambda k: np.array([r[k] for r in rows], np.int64)
     nodes = spark.sparkContext.broadcast((column(0), column(1).view(U64), column(2).view(U64)))
-    units = _visitors(blocks, nodes, limit).join(blocks.select("block", "codes"), "block")
-    return _search(units.select("codes", "visitors"), limit)
+    return _search(blocks, _visitors(blocks, nodes, limit), limit)
 
 
 def near_duplicates(

@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,52 @@ def test_frames(spark):
     assert secrets.scan(df.limit(0), keep=["doc_id"]).count() == 0
 
 
+def entropy_spans(text):
+    """By the definition, each window counted by itself: spans (start, end) in code points."""
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        word, size = run[0], secrets.WINDOW
+        if len(word) < size or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
+            continue
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", word) else "alphanumeric" if word.isalnum() else "base64"
+        hidden = set()
+        for form in secrets.ALLOWED:
+            for m in re.finditer(form, word):
+                start, end = (0, len(word)) if form.startswith("^") or form.startswith("(?i)^") else m.span()
+                if "?P<word>" in form:
+                    start = re.search("[A-Za-z0-9]*$", word[:start]).start()
+                    end += re.match("[A-Za-z0-9]*", word[end:]).end()
+                hidden |= set(range(start, end))
+        places = set()
+        for i in range(len(word) - size + 1):
+            counts = [word[i : i + size].count(c) / size for c in set(word[i : i + size])]
+            if -sum(p * math.log2(p) for p in counts) >= secrets.THRESHOLDS[kind] and not hidden & set(range(i, i + size)):
+                places |= set(range(i, i + size)) | {-i - 1}
+        starts = sorted(-p - 1 for p in places if p < 0)
+        while starts:
+            first = last = starts.pop(0)
+            while starts and starts[0] <= last + size:
+                last = starts.pop(0)
+            if re.search("[0-9]", word[first : last + size]):
+                out.append((run.start() + first, run.start() + last + size))
+    return out
+
+
+def test_entropy_spans_match_brute_force(spark):
+    """All of the table's texts, and texts with secrets, allowed words and hidden forms in them."""
+    rng = np.random.default_rng(13)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    say = lambda n, k=len(letters): "".join(rng.choice(letters[:k], n))
+    extra = [f"é {say(int(rng.integers(5, 80)))}{rng.choice(['example', '/dummy/', 'AAAAAAAAAA', '', '', '0123456789', '='])}{say(int(rng.integers(5, 60)), int(rng.integers(4, 67)))} ü" for _ in range(400)]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    found = 0
+    for text in extra + texts:
+        got = [(s, e) for s, k, e in secrets.find(text.encode(), ALLOWED) if secrets.KINDS[k] == "entropy"]
+        assert got == entropy_spans(text), text[:200]
+        found += len(got)
+    assert found > 200
+
+
 def test_query(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = {r.doc_id: r for r in secrets.op4_secret_scan(spark, "/root/testdata/sf0.001").collect()}

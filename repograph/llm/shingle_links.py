@@ -1,8 +1,9 @@
 """Links between texts whose sets of word shingles have a Jaccard similarity of at least a limit.
 
 Candidates agree on all ROWS minima of one of BANDS bands of a MinHash sketch: at a similarity of 0.8 a pair is missed with
-a chance of 3e-6. Each candidate is verified by the whole sets. Members of a bucket go with its first text; those that fail
-there go with all members that are not connected to them yet. Pairs that ``labels`` connects already are not compared.
+a chance of 3e-6. Each candidate is verified by the whole sets. Members of a bucket go with its first text; those that aren't
+connected to it then go with the first of themselves, and at last with all members that are still in another component. The
+components are part of the joins, so what is connected already makes no rows, and the components are those of all candidates.
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.llm.hashing import U64, mix
+from repograph.llm.marks import bitmap, marked
 from repograph.llm.storage import Workspace
 from repograph.llm.textmap import as_bytes, pieces, tidy
 
 BANDS, ROWS = 24, 4
-#: Bits of the bitmap that marks texts whose sets are wanted: 2 MB, at any size.
-MARKS = 1 << 24
-
 _TURN = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _TIMES = mix(_TURN) | U64(1)
 
@@ -47,18 +46,11 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray | None]
 
 def _wanted_sets(texts: DataFrame, wanted: DataFrame, hashed: Callable) -> DataFrame:
     """(h, set) with the sorted shingle hashes of each of ``wanted``, of (h, text)."""
-    marks = wanted.select((F.col("h").bitwiseAND(F.lit(MARKS - 1))).alias("mark"))
-    maps = marks.groupBy((F.col("mark") / 32768).cast("long").alias("part")).agg(F.expr("bitmap_construct_agg(mark % 32768)").alias("bits"))
-    bits = np.zeros(MARKS // 8, np.uint8)
-    for r in maps.collect():  # at most MARKS / 32768 rows of 4 KB
-        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    held = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+    held = bitmap(wanted)
 
     def run(batches):
-        marked = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            mark = batch.column("h").to_numpy() & (MARKS - 1)
-            some = batch.filter(pa.array((marked[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)))
+            some = batch.filter(pa.array(marked(held.value, batch.column("h").to_numpy())))
             for piece in pieces(some, "text"):
                 found = {}
                 for h, text in zip(piece.column("h").to_pylist(), as_bytes(piece.column("text"))):
@@ -71,6 +63,8 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame, hashed: Callable) -> DataF
 
 def _verified(pairs: DataFrame, texts: DataFrame, hashed: Callable, similarity: float, work: Workspace) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
+    if pairs.isEmpty():
+        return pairs
     wanted = work.keep(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
     sets = work.keep(_wanted_sets(texts, wanted, hashed), "sets")
     for end in ("a", "b"):
@@ -88,12 +82,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, hashed: Callable, similarity:
     return work.keep(pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long"), "similar")
 
 
-def _apart(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, b), once each, whose ends have different labels."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("h").alias(end), F.col("label").alias(f"label_{end}")), end)
-    return pairs.where("label_a <> label_b").select("a", "b")
+def _apart(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b), once each, of rows with different labels."""
+    return pairs.where("label_a <> label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_links(
@@ -107,20 +98,34 @@ def similar_links(
     def own(links):
         return work.keep(nodes.select("h", "fp").join(labelled(links), "fp", "left").select("h", F.coalesce("label", "fp").alias("label")), "own")
 
+    def told(rows, end, labels):
+        """Rows (key, h) as (key, ``end``, its label)."""
+        return rows.select("key", "h").join(labels, "h").select("key", F.col("h").alias(end), F.col("label").alias(f"label_{end}"))
+
     def of_prints(pairs):
         for end in ("a", "b"):
             pairs = pairs.join(nodes.select(F.col("h").alias(end), F.col("fp").alias(f"fp_{end}")), end)
         return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
+    def verified(pairs):
+        return work.keep(of_prints(_verified(pairs, texts, hashed, similarity, work)), "verified")
+
+    def with_first(rows, labels):
+        """(key, a, label_a, b, label_b) of each row and the first of its bucket."""
+        first = rows.groupBy("key").agg(F.min("h").alias("h"))
+        return told(rows, "a", labels).join(told(first, "b", labels), "key")
+
     keyed = nodes.select("h", F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    members = work.keep(keyed.join(pivots, "key"), "members")
-    pairs = work.keep(_apart(members.select(F.col("h").alias("a"), F.col("pivot").alias("b")), own(None)), "pairs")
-    sure = _verified(pairs, texts, hashed, similarity, work)
-    links = work.keep(of_prints(sure), "sure")
-    # those whose comparison with a pivot failed, with all that they are not connected to; a failed pivot has met all
-    failed = work.keep(pairs.join(sure, ["a", "b"], "left_anti").select(F.col("b").alias("h")).distinct(), "failed")
-    left = members.join(failed, "h", "left_semi").select("key", F.col("h").alias("a"))
-    beyond = _apart(left.join(members.select("key", F.col("h").alias("b")), "key").select("a", "b"), own(links))
-    more = _verified(work.keep(beyond.join(pairs, ["a", "b"], "left_anti"), "beyond"), texts, hashed, similarity, work)
-    return work.keep(links.union(of_prints(more)).distinct(), "links")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = work.keep(keyed.join(several, "key"), "members")
+    first = work.keep(_apart(with_first(members, own(None))), "first")
+    links = verified(first)
+    labels = own(links)
+    alone = with_first(members, labels).where("label_a <> label_b").select("key", F.col("a").alias("h"))
+    alone = work.keep(alone, "alone")
+    second = work.keep(_apart(with_first(alone, labels)).join(first, ["a", "b"], "left_anti"), "second")
+    links = links.union(verified(second))
+    labels = own(links)
+    across = told(alone, "a", labels).join(told(members, "b", labels), "key")
+    third = work.keep(_apart(across).join(first.union(second), ["a", "b"], "left_anti"), "third")
+    return work.keep(links.union(verified(third)).distinct(), "links")

@@ -76,29 +76,35 @@ def _spread() -> np.ndarray:
 _SPREAD = _spread()
 
 
-def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The fingerprint of each run of ``counts`` hashes: a bit is 1 if set in over half of them, zero for an empty run.
+def bit_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each run of ``counts`` hashes have each bit: a row of 64 for each run, bytes where no run is over 255.
 
     Eight counters of a byte each are added as one 64-bit number, in stretches of at most 255 hashes.
     """
-    out = np.zeros(len(counts), U64)
-    full = np.flatnonzero(counts)
+    n = counts.astype(np.int64)
+    full = np.flatnonzero(n)
+    small = not len(full) or n.max() <= 255
+    out = np.zeros((len(n), 64), np.uint8 if small else np.int64)
     if not len(full):
         return out
-    n = counts[full].astype(np.int64)
-    if n.max() <= 255:
-        sums = np.add.reduceat(_SPREAD[np.ascontiguousarray(hashes).view(np.uint8)].reshape(-1, 8), np.cumsum(n) - n, axis=0)
-        ones = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64) > (n // 2).astype(np.uint8)[:, None]
-        out[full] = np.packbits(ones, axis=1, bitorder="little").view(U64).ravel()
-        return out
-    parts = (n + 254) // 255
+    own = n[full]
+    parts = (own + 254) // 255
     of = np.repeat(np.arange(len(full)), parts)
-    first = np.cumsum(n) - n
+    first = np.cumsum(own) - own
     nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
     lanes = _SPREAD[np.ascontiguousarray(hashes).view(np.uint8)].reshape(-1, 8)
     sums = np.add.reduceat(lanes, first[of] + 255 * nth, axis=0)
-    bits = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64).astype(np.int64)
-    total = np.add.reduceat(bits, np.cumsum(parts) - parts, axis=0)
-    ones = (2 * total > n[:, None]).astype(np.uint8)
-    out[full] = np.packbits(ones, axis=1, bitorder="little").view(U64).ravel()
+    bits = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64)
+    out[full] = bits if small else np.add.reduceat(bits.astype(np.int64), np.cumsum(parts) - parts, axis=0)
     return out
+
+
+def majority(bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row of bit counts: a bit is 1 if set in over half of the hashes, zero without any."""
+    half = (counts // 2).astype(bits.dtype)
+    return np.packbits(bits > half[:, None], axis=1, bitorder="little").view(U64).ravel()
+
+
+def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of ``counts`` hashes."""
+    return majority(bit_counts(hashes, counts), counts)

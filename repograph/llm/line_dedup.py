@@ -13,9 +13,8 @@ for CLASS_CHARS to twice as many characters:
 
 Each agreement is a key of an equi-join. Candidates whose SimHashes over all features differ in over DISTANCE of 64 bits are
 left out. A pair links if its edit similarity, 1 - distance / longer length, is at least SIMILARITY. Pairs that could only
-connect what verified pairs connect already are not compared: a bucket's members go with its pivot first, then pairs across
-groups, then what failed with a pivot, so a large group of near copies costs its size, not its square, and groups are those
-of all candidate pairs. Of each group the occurrence that comes first by (id, hashes of the text, line number) stays, and all
+connect what verified pairs connect already are not compared (``near_links``), so a large group of near copies costs its size,
+not its square, and groups are those of all candidate pairs. Of each group the occurrence that comes first by (id, hashes of the text, line number) stays, and all
 others go, wherever they stand.
 
 Nothing grows with a group of copies but counts: copies are one row in all joins of candidates, hot partitions of stored
@@ -40,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repograph.llm.components import connected_components
-from repograph.llm.hashing import U64, WORDS_ONLY, mix, simhash, word_bounds, word_hashes
+from repograph.llm.hashing import U64, WORDS_ONLY, bit_counts, majority, mix, word_bounds, word_hashes
+from repograph.llm.marks import bitmap, marked
 from repograph.llm.storage import Workspace
 from repograph.llm.textmap import as_bytes, free_names, pieces, tidy
 
@@ -50,9 +50,6 @@ DISTANCE = 16
 CLASS_CHARS, LONG_WORDS = 32, 3
 SHORT_CHARS, SHORT_CLASSES, SHORT_WORDS = 64, 4, 2
 STRADDLE = 1.1
-#: Bits of the bitmap that marks lines whose text is wanted: 16 for each such line, between these powers of two. Beyond, more
-#: lines are fetched in vain, with the same result.
-LEAST_MARKS, MOST_MARKS = 20, 27
 #: A task remembers so many lines whose keys it has given; those it forgets it gives again.
 REMEMBERED = 1 << 16
 
@@ -92,9 +89,10 @@ def classes_of(chars: np.ndarray) -> np.ndarray:
     return np.where(chars < SHORT_CHARS, 0, classes)
 
 
-def block_keys(line: np.ndarray, feature: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of every key of every line, by line, from the features; ``chars`` has a length for each line."""
-    out = []
+def block_keys(line: np.ndarray, feature: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key) of every key of every line, by line, from the features, and each line's SimHash over all features;
+    ``chars`` has a length for each line."""
+    out, prints = [], np.zeros(len(chars), U64)
     own, next_ = classes_of(chars), classes_of(chars * STRADDLE)
     for classes, some in ((own, np.ones(len(chars), bool)), (next_, next_ != own)):
         here = some[line]
@@ -107,7 +105,12 @@ def block_keys(line: np.ndarray, feature: np.ndarray, chars: np.ndarray) -> tupl
         words = np.diff(np.append(first, len(block)))
         of = (block[first] >> U64(_CLASS_BITS)).astype(np.int64)
         number = block[first] & U64((1 << _CLASS_BITS) - 1)
-        name = mix(simhash(mix(packed & U64((1 << (_REST_BITS + _CLASS_BITS)) - 1)), words) + ((classes[of].astype(U64) << U64(_CLASS_BITS)) + number) * U64(0x9E3779B97F4A7C15))
+        bits = bit_counts(mix((packed & U64((1 << _REST_BITS) - 1)) + U64(1)), words)
+        if classes is own and len(of):  # what the classes count is what the line counts
+            begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            total = np.add.reduceat(bits, begins, axis=0, dtype=np.uint32)
+            prints[of[begins]] = majority(total, np.add.reduceat(words, begins))
+        name = mix(majority(bits, words) + ((classes[of].astype(U64) << U64(_CLASS_BITS)) + number) * U64(0x9E3779B97F4A7C15))
         long_ = (classes[of] > 0) & (words >= LONG_WORDS)
         out.append((of[long_], name[long_]))
         short = np.flatnonzero(some & (classes == 0))
@@ -123,7 +126,7 @@ def block_keys(line: np.ndarray, feature: np.ndarray, chars: np.ndarray) -> tupl
                 out.append((short[enough], mix(mix(names[enough, x] + U64(x + 1)) + names[enough, y] + U64(y + 1))))
     lines, keys = (np.concatenate(x) for x in zip(*out))
     order = np.argsort(lines, kind="stable")
-    return lines[order], keys[order]
+    return lines[order], keys[order], prints
 
 
 def digest(line: bytes) -> bytes:
@@ -136,9 +139,9 @@ def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for start in range(0, len(lines), 1 << _LINE_BITS):
         some = lines[start : start + (1 << _LINE_BITS)]
         line, feature = features(some)
-        prints.append(simhash(mix(feature + U64(1)), np.bincount(line, minlength=len(some))))
         chars = np.fromiter((len(x.decode()) if not x.isascii() else len(x) for x in some), np.int64, len(some))
-        of, own = block_keys(line, feature, chars)
+        of, own, whole = block_keys(line, feature, chars)
+        prints.append(whole)
         ends.append(before + np.cumsum(np.bincount(of, minlength=len(some))))
         keys.append(own)
         before += len(own)
@@ -215,30 +218,19 @@ def bucket_members(found: DataFrame) -> DataFrame:
 
 
 def with_pivots(members: DataFrame) -> DataFrame:
-    """With one line of the bucket: the least by a hash, so that one line leads in all buckets that it shares with another."""
-    order = F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("fp"))
-    pivots = members.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.fp").alias("pivot_fp"))
-    return members.join(pivots, "key")
+    """With the bucket's line of most copies (what near copies were made from is often copied, and near to all of them), of
+    ties the first by a hash; and the size of the bucket. ``members`` has key, node, fp and copies."""
+    order = F.struct("copies", F.xxhash64("node").alias("h"), "node", "fp")
+    pivots = members.groupBy("key").agg(F.max(order).alias("p"), F.count("*").alias("size"))
+    return members.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.fp").alias("pivot_fp"), "size"), "key")
 
 
-def beyond_pivot(members: DataFrame) -> DataFrame:
-    """The near pairs of each bucket of which one at least is not near the pivot."""
-    far = members.where(~_near("fp", "pivot_fp")).select("key", F.col("node").alias("far"), F.col("fp").alias("far_fp"))
-    return _pairs(far.join(members.select("key", "node", "fp"), "key").where((F.col("far") != F.col("node")) & _near("far_fp", "fp")), "far", "node")
-
-
-def around(members: DataFrame, some: DataFrame) -> DataFrame:
-    """All near pairs that have one of ``some`` lines."""
-    own = members.join(some, "node", "left_semi").select("key", F.col("node").alias("own"), F.col("fp").alias("own_fp"))
-    return _pairs(own.join(members.select("key", "node", "fp"), "key").where((F.col("own") != F.col("node")) & _near("own_fp", "fp")), "own", "node")
-
-
-def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends have different labels; a line without one is its own."""
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.withColumnsRenamed({"node": end, "label": f"label_{end}"}), end, "left")
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    return pairs.where(apart).select("a", "b")
+def labelled(df: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
+    """With ``label_`` of each end: its component's, or its own where it has none."""
+    for end in ends:
+        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        df = df.join(own, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    return df
 
 
 def alignment_cost(a: str, b: str, most: int, reach: int = 6) -> int:
@@ -261,53 +253,73 @@ def alignment_cost(a: str, b: str, most: int, reach: int = 6) -> int:
     return cost + max(sum(map(len, x[i:])) + len(x[i:]), sum(map(len, y[j:])) + len(y[j:]))
 
 
-def similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose texts (text_a, text_b) have at least that edit similarity, without the texts.
+def edit_distance(a: str, b: str) -> int:
+    """Of what is left without a common beginning and end, by bit-parallel columns of the edit matrix."""
+    start, least = 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = sorted((a[start : len(a) - end], b[start : len(b) - end]), key=len)
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    higher, lower, distance = mask, 0, len(a)
+    for c in b:
+        match = at.get(c, 0)
+        stay = match | lower
+        carry = (((match & higher) + higher) ^ higher) | match
+        rise, fall = lower | (mask & ~(carry | higher)), higher & carry
+        if rise & top:
+            distance += 1
+        elif fall & top:
+            distance -= 1
+        rise, fall = (rise << 1 | 1) & mask, fall << 1 & mask
+        higher, lower = fall | (mask & ~(stay | rise)), rise & stay
+    return distance
+
+
+def trigrams(text: str) -> set:
+    return set(zip(text, text[1:], text[2:]))
+
+
+def similar(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit similarity is at least that. Lengths exclude it, a cheap alignment settles most pairs; an edit takes
+    at most three trigrams away, which excludes most of the others; the matrix decides the rest."""
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-6)
+    if abs(len(a) - len(b)) > most:
+        return False
+    if alignment_cost(a, b, most) <= most:
+        return True
+    return len(trigrams(a) - trigrams(b)) <= 3 * most and edit_distance(a, b) <= most
 
-    A cheap alignment bounds the distance from above and settles most; narrow bands of the edit matrix come next, and the
-    whole band decides the rest.
-    """
+
+def similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose texts (text_a, text_b) have at least that edit similarity, without the texts."""
     kept = [c for c in pairs.columns if c not in ("text_a", "text_b")]
-    schema = T.StructType([*(pairs.schema[c] for c in kept), *(T.StructField(c, T.StringType()) for c in ("text_a", "text_b"))])
 
     def run(batches):
         for batch in batches:
-            texts, able = [[], []], []
-            for i, (a, b) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())):
-                most = int(max(len(a), len(b)) * (1 - similarity) + 1e-6)
-                if abs(len(a) - len(b)) > most:
-                    continue
-                able.append(i)
-                settled = alignment_cost(a, b, most) <= most
-                texts[0].append(None if settled else a)
-                texts[1].append(None if settled else b)
-            own = pa.array(able, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in kept), *(pa.array(t, pa.string()) for t in texts)], names=[*kept, "text_a", "text_b"])
+            like = [similar(a, b, similarity) for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
+            yield batch.select(kept).filter(pa.array(like, pa.bool_()))
 
-    most = f"cast(greatest(length(text_a), length(text_b)) * {1 - similarity:.6f} + 1e-6 as int)"
-    bands = " ".join(f"WHEN levenshtein(text_a, text_b, least({n}, {most})) >= 0 THEN true" for n in (24, 96))
-    return pairs.mapInArrow(tidy(run), schema).where(f"CASE WHEN text_a IS NULL THEN true {bands} ELSE levenshtein(text_a, text_b, {most}) >= 0 END").select(*kept)
+    return pairs.mapInArrow(tidy(run), T.StructType([pairs.schema[c] for c in kept]))
 
 
 def wanted_lines(documents: DataFrame, names: DataFrame) -> DataFrame:
     """(name, line) with the normalised text of each of ``names`` (node, name), and of others that share a mark."""
-    bits = min(MOST_MARKS, max(LEAST_MARKS, (16 * names.count()).bit_length()))
-    last = (1 << bits) - 1
-    marks = names.select(F.col("node").bitwiseAND(F.lit(last)).alias("mark"))
-    maps = marks.groupBy((F.col("mark") / 32768).cast("long").alias("part")).agg(F.expr("bitmap_construct_agg(mark % 32768)").alias("bits"))
-    wanted = np.zeros((last + 1) // 8, np.uint8)
-    for r in maps.toLocalIterator():  # at most 2^MOST_MARKS / 32768 rows of 4 KB
-        wanted[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    held = documents.sparkSession.sparkContext.broadcast(wanted.tobytes())
+    held = bitmap(names.select("node"))
 
     def run(batches):
-        marked = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 lines = [line for text in as_bytes(piece.column("text")) for line in normalised(text) if line]
                 own = list(map(digest, lines))
-                mark = np.frombuffer(b"".join(own), "<u8")[::2] & U64(last)
-                here = np.flatnonzero(marked[(mark >> U64(3)).astype(np.int64)] >> (mark & U64(7)).astype(np.uint8) & 1)
+                here = np.flatnonzero(marked(held.value, np.frombuffer(b"".join(own), "<u8")[::2].copy()))
                 found = {own[i]: lines[i] for i in here.tolist()}
                 texts = pa.array(list(found.values()), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), texts], names=["name", "line"])
@@ -331,34 +343,48 @@ def _verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, similarity:
     return similar_pairs(pairs, similarity)
 
 
-def near_links(documents: DataFrame, found: DataFrame, work: Workspace, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), names of similar lines; their components are those of all candidate pairs that are similar."""
-    members = work.keep(with_pivots(work.keep(bucket_members(found), "buckets")), "members")
-    # pairs with the pivots would connect all that is near one; of the other pairs those are compared that connect more
-    to_pivot = work.keep(_pairs(members.where(_near("fp", "pivot_fp")), "node", "pivot"), "to-pivot")
-    hoped = work.keep(connected_components(to_pivot, work), "hoped")
-    beyond = work.keep(beyond_pivot(members), "beyond")
-    tried = work.keep(to_pivot.union(crossing(beyond, hoped)), "tried")
-    # lines whose comparison with a pivot fails meet lines that take part here too
-    ends = to_pivot.union(beyond).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def near_links(documents: DataFrame, found: DataFrame, repeated: DataFrame, work: Workspace, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), names of similar lines; their components are those of all candidate pairs that are similar.
+
+    Members of a bucket go with its pivot; those not connected to it then go with one of themselves; at last all pairs of a
+    bucket are compared that lie in different components. ``repeated`` has (node, copies) of lines that occur again.
+    """
+    copies = repeated.groupBy("node").agg(F.max("copies").alias("copies"))
+    buckets = work.keep(bucket_members(found), "buckets").join(copies, "node", "left").fillna(1, ["copies"])
+    members = work.keep(with_pivots(buckets), "members")
+    near = members.where((F.col("node") != F.col("pivot")) & _near("fp", "pivot_fp"))
+    far = members.where("size > 2").where(~_near("fp", "pivot_fp"))
+    ends = near.select(F.explode(F.array("node", "pivot")).alias("node")).union(far.select("node")).distinct()
     names = work.keep(found.where("node IS NOT NULL").select("node", "name").join(ends, "node", "left_semi").distinct(), "names")
     texts = work.keep(wanted_lines(documents, names), "texts")
-    sure = work.keep(_verified(tried, names, texts, similarity), "sure")
+    first = work.keep(_pairs(near, "node", "pivot"), "first")
+    sure = work.keep(_verified(first, names, texts, similarity), "sure")
+    # those that aren't connected to the pivot, with one of themselves
     firm = work.keep(connected_components(sure, work), "firm")
-    failed = to_pivot.join(sure, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rest = beyond.union(around(members, work.keep(failed, "failed"))).distinct().join(tried, ["a", "b"], "left_anti")
-    more = work.keep(_verified(work.keep(crossing(rest, firm), "rest"), names, texts, similarity), "more")
-    return sure.union(more).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    alone = labelled(members.where("size > 2"), firm, "node", "pivot").where("label_node <> label_pivot")
+    alone = work.keep(alone.select("key", "node", "fp", "copies", "label_node"), "alone")
+    again = with_pivots(alone.drop("label_node")).where((F.col("node") != F.col("pivot")) & _near("fp", "pivot_fp"))
+    again = _pairs(labelled(again, firm, "node", "pivot").where("label_node <> label_pivot"), "node", "pivot")
+    second = work.keep(again.join(first, ["a", "b"], "left_anti"), "second")
+    more = work.keep(_verified(second, names, texts, similarity), "more")
+    # what is still apart: the components are part of the join, so what is connected makes no rows
+    whole = work.keep(connected_components(sure.union(more), work), "whole")
+    left = labelled(alone.select("key", "node", "fp"), whole, "node").toDF("own", "key", "own_fp", "own_label")
+    others = labelled(members.where("size > 2").select("key", "node", "fp"), whole, "node")
+    pairs = left.join(others, "key").where((F.col("own_label") != F.col("label_node")) & _near("own_fp", "fp"))
+    third = work.keep(_pairs(pairs, "own", "node").join(first.union(second), ["a", "b"], "left_anti"), "third")
+    last = work.keep(_verified(third, names, texts, similarity), "last")
+    return sure.union(more).union(last).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
 
 
 def dropped_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of (id, s1, s2, text): (id, s1, s2, lines), the numbers of the lines to drop of each document that has some."""
     work = Workspace(documents.sparkSession, "line-dedup")
     found = work.keep(occurrences(documents), "occurrences")
-    labels = work.keep(connected_components(near_links(documents, found, work, similarity), work), "labels").withColumnRenamed("node", "name")
+    repeated = work.keep(found.groupBy("name").agg(F.count("*").alias("copies"), F.max("node").alias("node")).where("copies > 1"), "repeated")
+    labels = work.keep(connected_components(near_links(documents, found, repeated, work, similarity), work), "labels").withColumnRenamed("node", "name")
     # only lines that are not alone go on: copies, and those of a group
-    repeated = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    grouped = repeated.join(labels, "name", "full").select("name", F.coalesce("label", "name").alias("label"))
+    grouped = repeated.select("name").join(labels, "name", "full").select("name", F.coalesce("label", "name").alias("label"))
     place = F.struct(*ROW, "line")
     several = work.keep(found.select(*ROW, "line", "name").join(work.keep(grouped, "grouped"), "name").select("label", place.alias("place")), "several")
     stays = work.keep(several.groupBy("label").agg(F.min("place").alias("stays")), "stays")
@@ -381,7 +407,8 @@ def dedup_lines(
     marks = {"s1": F.xxhash64(own[at]), "s2": F.xxhash64(F.lit(1), F.col(own[at]))}
     gone = dropped_lines(source.select(F.col(key).alias("id"), *(c.alias(n) for n, c in marks.items()), F.col(own[at]).alias("text")), similarity)
     same = F.col(key).eqNullSafe(F.col("id")) & (marks["s1"] == F.col("s1")) & (marks["s2"] == F.col("s2"))
-    joined = source.join(gone, same, "left").select(*own, "lines")
+    # the side with the numbers is small next to the texts: a table of it spares sorting them
+    joined = source.join(gone.hint("shuffle_hash"), same, "left").select(*own, "lines")
     schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(own, source.schema.fields)), *(T.StructField(n, T.LongType(), False) for n in RESULT)])
 
     def run(batches):

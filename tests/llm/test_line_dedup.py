@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from repograph.llm import line_dedup as ld
+from repograph.llm import marks
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,6 +214,40 @@ def test_alignment_bounds_the_distance():
     assert ld.alignment_cost("one two three four", "one three four", 99) == 4 and ld.alignment_cost("a b", "a b", 0) == 0
 
 
+def test_edit_distance():
+    rng = np.random.default_rng(7)
+
+    def matrix(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    for _ in range(500):
+        a, b = ("".join(rng.choice(list("abc é"), int(n))) for n in rng.integers(0, 40, 2))
+        assert ld.edit_distance(a, b) == edit(a, b) == matrix(a, b)
+        for limit in (0.3, 0.8, 0.9):
+            assert ld.similar(a, b, limit) == (edit(a, b) <= int(max(len(a), len(b)) * (1 - limit) + 1e-6))
+
+
+def test_groups_that_share_a_bucket(spark):
+    """Variants that are near their base, but not each other, and a second such group: pivots that fail lose no link."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(9)]
+        for _ in range(40):
+            own = list(base)
+            own[int(rng.integers(9))] = word()
+            rows.append((len(rows), " ".join(own)))
+        rows += [(len(rows) + k, " ".join(base)) for k in range(2)]
+    got = {r.doc_id for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_kept == 0}
+    assert got == {i for i, _ in brute(rows)} and len(got) > 60
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "some words here\nmore"), (1, "some words here"), (2, "two\ntwo"), (2, "two\ntwo"), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -249,7 +284,7 @@ def test_query(spark):
 def test_bitmap_without_room_changes_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = ld.dedup_lines(docs).select("doc_id", "text").collect()
-    monkeypatch.setattr(ld, "LEAST_MARKS", 15)
-    monkeypatch.setattr(ld, "MOST_MARKS", 15)
+    monkeypatch.setattr(marks, "LEAST", 15)
+    monkeypatch.setattr(marks, "MOST", 15)
     monkeypatch.setattr(ld, "REMEMBERED", 1)
     assert sorted(ld.dedup_lines(docs).select("doc_id", "text").collect()) == sorted(want)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from repograph.queries import graphs, relations, scalars  # noqa: F401
+from repograph.queries import code, graphs, relations, scalars  # noqa: F401
 from repograph.queries.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -1,8 +1,9 @@
 """License scans by a positional rare-token index (operator 3), in DataFrame functions only.
 
-Templates are short licence notices with mandatory key phrases. How many documents hold each of their words is counted
-over all documents; of each template the RARE words with the highest IDF are indexed, with postings (template, place).
-Every indexed word that a document holds is looked up: each of its places, less the place in a posting, is where that template would begin. Where enough different words agree on the beginning, the template's key
+Templates are licence notices and sentences of the licences themselves, with mandatory key phrases. How many documents hold
+each of their words is counted over all documents; of each template the RARE words with the highest IDF are indexed, with
+postings (template, place). Every indexed word that a document holds is looked up: each of its places, less the place in a
+posting, is where that template would begin. Where enough different words agree on the beginning, the template's key
 phrases are compared with the words that must then stand there. A template whose phrases all stand labels the document;
 the score is the highest share, weighted by IDF, of a template's words that stand in their places.
 
@@ -24,9 +25,7 @@ from pyspark.sql import functions as F
 from repograph.llm.textmap import free_names
 
 RARE = 4
-#: So many indexed words of a document are looked up, by falling IDF; None: all, as the index is as large as the templates.
-LOOKED_UP = None
-#: So many different looked-up words must agree on where a template begins.
+#: So many different indexed words must agree on where a template begins.
 AGREE = 2
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -134,7 +133,6 @@ def scan(
     notices: tuple[Notice, ...] = NOTICES,
     base: dict[str, str] | None = None,
     rare: int = RARE,
-    looked_up: int | None = LOOKED_UP,
     agree: int = AGREE,
 ) -> DataFrame:
     """The ``keep`` columns (one named like a result as ``input_`` and the name), n_words, places (start, label) of base phrases,
@@ -157,8 +155,7 @@ def scan(
         *names,
         "words",
         F.size("words").cast("long").alias("n_words"),
-        # in the order of falling IDF
-        (held if looked_up is None else F.slice(held, 1, looked_up)).alias("found"),
+        held.alias("found"),
         F.arrays_overlap("words", _strings(base_words)).alias("may_base"),
     )
     no_votes = F.array().cast("array<struct<n:int,start:int,w:string>>")

@@ -36,7 +36,7 @@ def brute(texts, notices=ls.NOTICES):
             index.setdefault(w, []).extend((n, p) for p, x in enumerate(notice.words) if x == w)
     for w in every:
         base = [(i, label) for phrase, label in ls.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
-        found = set(sorted(set(w) & set(index), key=lambda x: (-idf[x], x))[: ls.LOOKED_UP])
+        found = set(w) & set(index)
         votes = {}
         for i, x in enumerate(w):
             if x in found:
@@ -100,3 +100,31 @@ def test_every_notice_of_a_text_is_found(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.labels for r in ls.op3_license_scan(spark, str(tmp_path)).collect()}
     assert got[1] == ",".join(sorted({n.label for n in ls.NOTICES})) and got[2] == "bsd,isc,mit,mpl,unlicense" and got[3] == ""
+
+
+BODIES = {
+    "mit": """* Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software")...
+ * The above copyright notice and this permission notice shall be included in
+ * all copies or substantial portions of the Software.""",
+    "apache": """# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0""",
+    "gpl": """// This program is free software; you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation; either version 2 of the License""",
+    "bsd": """1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.""",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. */",
+    "zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.""",
+}
+
+
+def test_bodies_of_licences_without_their_names(spark, tmp_path):
+    rows = [(i, f"some words before\n{body}\nand after") for i, body in enumerate(BODIES.values())] + [(99, "you may use this software in any way and modify it")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels for r in ls.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(BODIES))] == list(BODIES) and got[99] == ""

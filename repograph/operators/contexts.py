@@ -88,11 +88,13 @@ def function_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
 def class_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
     """``imports_used`` of a class is always empty."""
     rows, ids = _nodes(graph, "CLASS", of)
-    bases = graph.successors("INHERITS_FROM", ids).where("node_type = 'CLASS'")
     methods = graph.successors("CONTAINS", ids).where("node_type = 'FUNCTION' AND is_method")
     shown = F.when(F.coalesce("signature", F.lit("")) != "", F.col("signature")).otherwise(F.col("name"))
     rows = rows.withColumn("imports_used", F.array().cast("array<string>"))
-    return _with(rows, _gather(bases, "source_id", _named("`", F.col("name"), "`"), "inherits_from"), _gather(methods, "source_id", _named("`", shown, "`"), "methods"))
+    rows = _with(rows, graph.bases(ids), _gather(methods, "source_id", _named("`", shown, "`"), "methods"))
+    # runs are written out after the joins: a name that many classes bear makes long lists
+    names = F.flatten(F.transform("runs", lambda r: F.array_repeat(_named("`", r["name"], "`"), r["n"].cast("int"))))
+    return rows.withColumn("inherits_from", names).drop("runs")
 
 
 def top_level_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
@@ -103,8 +105,10 @@ def top_level_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
 def component_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
     """Callers are those that render it, then those that call it."""
     own, _ = _nodes(graph, "REACT_COMPONENT", of)
-    into = graph.collapsed.join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    edges = into.where("type IN ('RENDERS', 'CALLS')").withColumn("rank", F.when(F.col("type") == "RENDERS", 0).otherwise(1))
+    edges = graph.view("RENDERS").withColumn("rank", F.lit(0))
+    if graph.may_lead("CALLS", "REACT_COMPONENT"):
+        edges = edges.unionByName(graph.view("CALLS").withColumn("rank", F.lit(1)))
+    edges = edges.join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     rows = edges.select("target_id", "rank", "pos", F.col("source_id").alias("id")).join(graph.nodes, "id")
     found = rows.groupBy(F.col("target_id").alias("id")).agg(ordered_list(caller_text(), F.col("rank"), F.col("pos")).alias("callers"))
     return _with(own, found)
@@ -129,13 +133,11 @@ def file_context(graph: Graph, of: DataFrame | None = None) -> DataFrame:
     kind = F.col("node_type")
     class_text = F.when(kind == "CLASS", _named("`", F.col("name"), "`")).when(kind == "REACT_COMPONENT", _named("`", F.col("name"), "` (React Component)"))
     function_text = F.when(kind == "FUNCTION", _named("`", F.col("name"), "`")).when(kind == "REACT_HOOK", _named("`", F.col("name"), "` (React Hook)"))
-    lists = inside.groupBy(F.col("parent").alias("id")).agg(
-        ordered_list(F.when(class_text.isNotNull(), class_text), F.col("pos")).alias("classes"),
-        ordered_list(F.when(function_text.isNotNull(), function_text), F.col("pos")).alias("functions"),
-        F.count_if(kind == "NON_FUNCTION_NON_CLASS").alias("contained_blocks_count"),
-    )
-    some = lambda c: F.filter(c, lambda x: x.isNotNull())
-    lists = lists.select("id", some("classes").alias("contained_classes"), some("functions").alias("contained_functions"), "contained_blocks_count")
+    # one list of both, so a child's place is carried once
+    text = F.struct(class_text.alias("c"), function_text.alias("f"))
+    lists = inside.groupBy(F.col("parent").alias("id")).agg(ordered_list(text, F.col("pos")).alias("every"), F.count_if(kind == "NON_FUNCTION_NON_CLASS").alias("contained_blocks_count"))
+    some = lambda part: F.filter(F.transform("every", lambda x: x[part]), lambda x: x.isNotNull())
+    lists = lists.select("id", some("c").alias("contained_classes"), some("f").alias("contained_functions"), "contained_blocks_count")
     rows = own.join(lists.select("id", "contained_blocks_count"), "id", "left").fillna(0, ["contained_blocks_count"])
     return _with(rows, lists.drop("contained_blocks_count"), imports_used(graph, "IMPORTS", "imports_made", ids), summary_map(inside))
 

@@ -27,14 +27,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = U64(0xD1342543DE82EF95)
-_powers = np.ones(1, U64)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_powers = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(max(n, 1024), _BASE)]))
-    return _powers[:n]
+def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
+    if len(_powers[base]) < n:
+        _powers[base] = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(max(n, 1024), base)]))
+    return _powers[base][:n]
 
 
 def word_bounds(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,15 +46,27 @@ def word_bounds(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Words are hashed in stretches of about so many bytes, so that what they take stays in the processor's cache.
+_STRETCH = 1 << 15
+
+
 def word_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in the place within the word, then mixed."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    terms = _BYTE[a[a > 0x20]] * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, first))
+    """A 64-bit hash of each word: a polynomial in the place within the word, then mixed.
+
+    It is a difference of running sums over a stretch of words, divided by the power at which the word starts.
+    """
+    out = np.zeros(len(starts), U64)
+    first = 0
+    while first < len(starts):
+        begin = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + _STRETCH, side="right")))
+        here, until = slice(first, last), int(ends[last - 1])
+        sums = np.zeros(until - begin + 1, U64)
+        np.cumsum(_BYTE[a[begin:until]] * powers(until - begin), out=sums[1:])
+        at = starts[here] - begin
+        out[here] = (sums[ends[here] - begin] - sums[at]) * powers(until - begin, _INVERSE)[at]
+        first = last
+    return mix(out)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

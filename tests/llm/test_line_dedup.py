@@ -288,3 +288,51 @@ def test_bitmap_without_room_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(marks, "MOST", 15)
     monkeypatch.setattr(ld, "REMEMBERED", 1)
     assert sorted(ld.dedup_lines(docs).select("doc_id", "text").collect()) == sorted(want)
+
+
+def test_keys_are_shuffled_packed(spark):
+    """Far fewer rows than keys; every bucket with several lines is found, with one of its lines as pivot."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = spark.createDataFrame([(i, i, 0, t) for i, t in rows], "id long, s1 long, s2 long, text string").repartition(3)
+    found = ld.Workspace(spark, "packed").keep(ld.occurrences(docs), "occurrences")
+    names = sorted({n for _, n in lines_of(rows)})
+    prints, ends, keys = ld.fingerprints([n.encode() for n in names])
+    nodes = [int.from_bytes(ld.digest(n.encode())[:8], "little", signed=True) for n in names]
+    want = {}
+    for node, fp, start, end in zip(nodes, prints.view(np.int64).tolist(), [0, *ends[:-1].astype(int)], ends.astype(int)):
+        for key in keys[start:end].view(np.int64).tolist():
+            want.setdefault(key, set()).add((node, fp))
+    want = {k: v for k, v in want.items() if len(v) > 1}
+    got, pivots = {}, {}
+    for r in ld.bucket_members(found).collect():
+        got.setdefault(r.key, []).append((r.node, r.fp))
+        pivots.setdefault(r.key, set()).add((r.pivot, r.pivot_fp, r["size"]))
+    assert {k: set(v) for k, v in got.items()} == want and all(len(v) == len(want[k]) for k, v in got.items())
+    assert all(len(p) == 1 and next(iter(p))[:2] in want[k] and next(iter(p))[2] == len(want[k]) for k, p in pivots.items())
+    assert len(want) > 50 and 20 * ld.dealt_keys(found, 16).count() < len(keys)
+
+
+def test_members_of_packed_keys():
+    """Repeats of a line are counted, lines of one key only are left out, the line given most often is the pivot."""
+    rows = [(1, 10, 5), (2, 20, 6), (1, 11, 7), (2, 20, 6), (1, 11, 7), (3, 30, 8), (1, 12, 9)]
+    columns = [c.tolist() for c in ld.members_of(np.array(rows, np.uint64).tobytes())]
+    assert sorted(zip(*columns)) == [(1, 10, 5, 1, 11, 7, 3), (1, 11, 7, 2, 11, 7, 3), (1, 12, 9, 1, 11, 7, 3)]
+    assert ld.members_of(np.array(rows[1:2], np.uint64).tobytes()) == []
+
+
+def test_common_subsequence_excludes_only_what_is_unlike():
+    """Never a pair within the distance; lines of other words go without the edit matrix."""
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        a = "".join(rng.choice(list("ab c"), int(rng.integers(0, 150))))
+        b = "".join(x if rng.random() < 0.85 else str(rng.choice(["", "d", x + x])) for x in a)
+        distance = edit(a, b)
+        assert all(ld.may_be_within(a, b, most) for most in (distance, distance + 3, 2 * distance + 50))
+    line = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60))
+    assert not any(ld.may_be_within(line(), line(), 84) for _ in range(20))
+
+
+def test_normalised_texts_are_those_of_each():
+    texts = [b" A  b\0c \n\n--\n1 x ", None, b"", b"\n", b"\0", "É  é".encode()]
+    one = lambda t: [b" ".join(x.split()) for x in t.translate(ld._LINES).split(b"\n")] if t is not None else []
+    assert ld.normalised_texts(texts) == [one(t) for t in texts] == [ld.normalised(t) for t in texts]
